@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, secret_scan
+from . import bpe, exact, packing, secret_scan
 from .common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(table(spark, sf_dir, "documents"))
 
@@ -16,9 +20,15 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_bpe": op1_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 #: A list of matches and the pieces between them give places, as code points.
