@@ -10,7 +10,7 @@ SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 NONE = f"cast(array() as array<{SPAN}>)"
 
 
-def _found(text: Column, pattern: str, parts: list[Column]) -> Column:
+def places(text: Column, pattern: str, parts: list[Column]) -> Column:
     """Structs (start, found, parts...) of the leftmost matches that don't overlap.
 
     What lies between the matches gives their places: a start is the length of all that
@@ -42,7 +42,7 @@ def spans(text: Column, pattern: str, kind: str, rank: int, keep=None, group: in
     and not tried again. quick is a cheap test that every text with a match passes.
     """
     parts = [] if group is None else [F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("p0")]
-    found = _found(text, pattern, parts)
+    found = places(text, pattern, parts)
     if keep is not None:
         found = F.filter(found, (lambda x: keep(x["found"])) if group is None else (lambda x: keep(x["found"], x["p0"])))
     made = F.transform(
