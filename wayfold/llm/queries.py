@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, golay, packing, pii, quality, secret_scan
+from . import bpe, exact, golay, packing, phrases, pii, quality, secret_scan
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(table(spark, sf_dir, "documents"))
 
 
+def op5_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op4_pii": op4_pii,
+    "op5_phrase_automata": op5_phrase_automata,
     "op6_golay_simhash": op6_golay_simhash,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
