@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,3 +58,17 @@ def discard(df: DataFrame) -> None:
     for path in {file.rpartition("/")[0] for file in df.inputFiles()}:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bounded(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices whose texts have at most `limit` bytes in all, or one row."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        start = total = 0
+        for i, size in enumerate(sizes):
+            if i > start and total + size > limit:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += size
+        if start < len(sizes):
+            yield batch.slice(start)

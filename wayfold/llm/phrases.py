@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .anchors import anchors, mixed, passes, recurring_filter, run_hashes
-from .common import stored, text_of
+from .common import bounded, stored, text_of
 
 WINDOW = 20
 PHRASE = 6
-#: Documents in a shard, and words that a worker remembers at most.
+#: Documents and bytes in a shard, and words that a worker remembers at most.
 SHARD_DOCS = 1000
+SHARD_BYTES = 4_000_000
 MEMO_WORDS = 500_000
 _POWERS = np.array([pow(0xA0761D6478BD642F, k, 1 << 64) for k in range(WINDOW)], np.uint64)
 
@@ -66,7 +67,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words(0)
-        for batch in batches:
+        for batch in bounded(batches, 0, SHARD_BYTES):
             shard = _Shard(batch.column(0).to_pylist(), memo)
             found, n = np.unique(shard.phrases[shard.anchors], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], ["hash", "n"])
@@ -99,7 +100,7 @@ def candidate_windows(docs: DataFrame, bits: np.ndarray, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, second = _Words(0), _Words(1)
-        for batch in batches:
+        for batch in bounded(batches, 1, SHARD_BYTES):
             shard = _Shard(batch.column(1).to_pylist(), memo)
             at = _located(shard, shipped.value)
             if not len(at):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, golay, packing, phrases, pii, quality, secret_scan
+from . import bpe, exact, golay, packing, phrases, pii, quality, secret_scan, suffixes
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op6_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_phrase_automata": op5_phrase_automata,
     "op6_golay_simhash": op6_golay_simhash,
+    "op7_difference_cover": op7_difference_cover,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
