@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_path, text_of
+from .common import shared_dir, text_of
 from .lexicon import Lexicon, compile_lexicon
 
 #: Units in the lexicon at most; with UNIT_BYTES it bounds the file that each machine loads.
@@ -180,7 +180,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", units
     exact = Coder(tokenizer)
     blob = compile_lexicon((f" {u}".encode(), np.frombuffer(exact.spaced[u], "<u4").tolist()) for u in frequent)
     name = f"lexicon-{hashlib.sha256(blob).hexdigest()[:24]}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_path(spark, 'lexicon')}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
     out.write(bytearray(blob))
     out.close()
