@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, golay, packing, phrases, pii, quality, secret_scan, suffixes
+from . import bpe, eps_grid, exact, golay, packing, phrases, pii, quality, secret_scan, suffixes
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.findings(table(spark, sf_dir, "documents"))
 
 
+def op3_epsilon_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eps_grid.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_secret_scan": op2_secret_scan,
+    "op3_epsilon_grid": op3_epsilon_grid,
     "op4_pii": op4_pii,
     "op5_phrase_automata": op5_phrase_automata,
     "op6_golay_simhash": op6_golay_simhash,
@@ -91,7 +96,20 @@ found as (select doc_id, min(doc_id) over (partition by t) as keep_id, count(*)
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from found
 """
 
+#: Links by brute force; components by reachability.
+_EMBEDDINGS = """
+with recursive v as (select vec_id, cast(embedding as double[]) as x from embeddings where embedding is not null),
+good as (select vec_id, x, sqrt(list_dot_product(x, x)) as norm from v where len(list_filter(x, lambda c: c is null or isnan(c) or isinf(c))) = 0 and len(list_filter(x, lambda c: c <> 0)) > 0),
+links as (select a.vec_id as u, b.vec_id as w from good a join good b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) and list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.95),
+reach as (select vec_id as u, vec_id as w from embeddings union select r.u, l.w from reach r join links l on r.w = l.u),
+roots as (select u, min(w) as component_id from reach group by u),
+counts as (select u, count(*) as n from links group by u)
+select e.vec_id, coalesce(c.n, 0) as n_links, r.component_id, e.vec_id = r.component_id as kept
+from embeddings e join roots r on r.u = e.vec_id left join counts c on c.u = e.vec_id
+"""
+
 ORACLES = {
+    "op3_epsilon_grid": _EMBEDDINGS,
     "op2_secret_scan": _SECRETS,
     "op9_exact_dedup": _EXACT,
 }
