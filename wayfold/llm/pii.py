@@ -35,7 +35,7 @@ GENERATORS = (
 QUICK = (None, r"[(\[{](?i:at)[)\]}]", r"[A-Z]{2}[0-9]{2}")
 #: Words before a candidate that speak for or against it.
 PHONE_WORDS = "phone|tel|call|mobile|cell|fax|reach|ring|dial|whatsapp"
-ID_WORDS = "ssn|social|passport|licen|national id|tax id|born|birth|patient|member"
+ID_WORDS = "ssn|social|passport|licence|license|national id|tax id|born|birth|patient|member"
 BANK_WORDS = "iban|account|acct|bank|card|routing|sort code|transfer"
 OTHER_WORDS = "order|invoice|version|isbn|page|total|sum|population|item|code|row|line|ref|build|serial|date|year|model|score"
 CONTEXT = 28
@@ -86,10 +86,10 @@ def _features(text: Column, start: Column, found: Column) -> list[Column]:
         flag(found.contains(" ")),
         flag(found.rlike(r"^\(?0")),
         flag(found.rlike("^(?:19|20)[0-9]{2}(?:[^0-9]|$)")),
-        flag(before.rlike(PHONE_WORDS)),
-        flag(before.rlike(ID_WORDS)),
-        flag(before.rlike(BANK_WORDS)),
-        flag(before.rlike(OTHER_WORDS)),
+        flag(before.rlike(f"(?<![a-z])(?:{PHONE_WORDS})(?![a-z])")),
+        flag(before.rlike(f"(?<![a-z])(?:{ID_WORDS})(?![a-z])")),
+        flag(before.rlike(f"(?<![a-z])(?:{BANK_WORDS})(?![a-z])")),
+        flag(before.rlike(f"(?<![a-z])(?:{OTHER_WORDS})(?![a-z])")),
         flag(before.rlike(r"[$€£#]\x20?$")),
         flag(found.rlike("[A-Za-z]")),
         flag(found.rlike(r"^[^0-9]*[0-9]{3}[^0-9]+[0-9]{2}[^0-9]+[0-9]{4}$")),
