@@ -112,3 +112,58 @@ def range_front(profile: DataFrame) -> DataFrame:
 
     later = Window.partitionBy("stop").orderBy(F.desc("departure"), "arr").rowsBetween(Window.unboundedPreceding, -1)
     return profile.withColumn("beat", F.min("arr").over(later)).where("beat is null or arr < beat").drop("beat")
+
+
+def journeys(seeds: DataFrame, stop_times: DataFrame, transfers: DataFrame, rounds: int, horizon: int = HORIZON) -> DataFrame:
+    """request, stop, arr, path: as earliest_arrival, each label with its legs; of equal arrivals the path that sorts first.
+
+    A path is text, a leg "R trip board dep alight arr" or "W from to seconds", legs joined by
+    "|"; labels stay narrow enough to be shuffled, and no parent has to be looked up.
+    """
+    least = F.min(F.struct("arr", "path"))
+
+    def settle(labels: DataFrame) -> DataFrame:
+        return labels.groupBy("request", "stop").agg(least.alias("x")).select("request", "stop", "x.arr", "x.path")
+
+    def on_foot(labels: DataFrame) -> DataFrame:
+        leg = F.concat_ws(" ", F.lit("W"), "f", "t", "w")
+        went = labels.join(transfers, labels["stop"] == transfers["f"]).select("request", F.col("t").alias("stop"), (F.col("arr") + F.col("w")).alias("arr"), F.concat_ws("|", F.when(F.col("path") != "", F.col("path")), leg).alias("path"))
+        return settle(labels.select("request", "stop", "arr", "path").unionByName(went))
+
+    best = on_foot(seeds.select("request", "stop", "arr", F.lit("").alias("path")))
+    leaving = stop_times.select("stop", "trip", "pos", "dep", F.expr(f"cast(dep div {HOUR} as int)").alias("hour"))
+    later = stop_times.select("trip", F.col("stop").alias("to"), F.col("arr").alias("end"), F.col("pos").alias("at"))
+    for _ in range(rounds):
+        wanted = best.select("request", "stop", "arr", "path", _hours("arr", f"(arr + {horizon} - 1)").alias("hour"))
+        boarded = wanted.join(leaving, ["stop", "hour"]).where((F.col("dep") >= F.col("arr")) & (F.col("dep") < F.col("arr") + horizon)).select("request", "trip", "pos", "dep", "path", F.col("stop").alias("board"))
+        leg = F.concat_ws(" ", F.lit("R"), "trip", "board", "dep", "to", "end")
+        ridden = boarded.join(later, "trip").where("at > pos").select("request", F.col("to").alias("stop"), F.col("end").alias("arr"), F.concat_ws("|", F.when(F.col("path") != "", F.col("path")), leg).alias("path"))
+        best = settle(best.unionByName(on_foot(settle(ridden))))
+    return best
+
+
+def reliable_arrivals(seeds: DataFrame, stop_times: DataFrame, bins: DataFrame, mode, rounds: int, horizon: int = HORIZON) -> DataFrame:
+    """request, stop, bucket, arr, rel: the front of arrival and reliability bucket after so many rides without walks.
+
+    A transfer holds with the feeder's probability to be late by no more than the margin; the
+    first boarding is certain. Of each bucket the earliest arrival stays, the surer on ties.
+    """
+    from ..functions.reliability import bucket, on_time
+    from .pareto import bucket_front
+
+    bin_table = F.broadcast(bins.select(F.col("mode").alias("feeder"), "bins"))  # a row per mode
+    labels = seeds.select("request", "stop", "arr", F.lit(1.0).alias("rel"), F.lit(None).cast("string").alias("feeder"), F.lit(4).alias("bucket"))
+    leaving = stop_times.select("stop", "trip", "pos", "dep", mode.alias("mode"), F.expr(f"cast(dep div {HOUR} as int)").alias("hour"))
+    later = stop_times.select("trip", F.col("stop").alias("to"), F.col("arr").alias("end"), F.col("pos").alias("at"))
+    everything = None
+    for _ in range(rounds):
+        wanted = labels.join(bin_table, "feeder", "left").select("request", "stop", "arr", "rel", "feeder", "bins", _hours("arr", f"(arr + {horizon} - 1)").alias("hour"))
+        boarded = wanted.join(leaving, ["stop", "hour"]).where((F.col("dep") >= F.col("arr")) & (F.col("dep") < F.col("arr") + horizon))
+        p = F.when(F.col("bins").isNull(), 1.0).otherwise(on_time(F.col("bins"), F.col("dep") - F.col("arr")))
+        rel = F.round(F.col("rel") * p, 6)
+        ridden = boarded.select("request", "trip", "pos", "mode", rel.alias("rel")).join(later, "trip").where("at > pos").select("request", F.col("to").alias("stop"), F.col("end").alias("arr"), "rel", F.col("mode").alias("feeder"), bucket(F.col("rel")).alias("bucket"))
+        best = ridden.groupBy("request", "stop", "bucket").agg(F.min(F.struct("arr", (-F.col("rel")).alias("r"), "feeder")).alias("x")).select("request", "stop", "bucket", "x.arr", (-F.col("x.r")).alias("rel"), "x.feeder")
+        everything = best if everything is None else everything.unionByName(best)
+        labels = best.select(*labels.columns)
+    front = bucket_front(everything, ["request", "stop"], "arr", "bucket")
+    return everything.groupBy("request", "stop", "bucket", "arr").agg(F.max("rel").alias("rel")).join(front, ["request", "stop", "bucket", "arr"])
