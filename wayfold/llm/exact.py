@@ -54,6 +54,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; see exact_duplicates."""
-    drop = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(drop, docs[id_col] == drop["_gone"], "left_anti")
+    """The rows of docs that stay, with all their columns; see exact_duplicates. Rows without an id stay."""
+    gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
+    same = (docs[id_col] == gone["_gone"]) & (F.sha2(normalised(F.coalesce(docs[text_col], F.lit(""))), 256) == gone["_sha"])
+    return docs.join(gone, same, "left_anti")
