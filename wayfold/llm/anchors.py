@@ -91,3 +91,22 @@ def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes the filter holds."""
     at = (hashes >> np.uint64(6) & np.uint64(len(bits) - 1)).astype(np.int64)
     return (bits[at] >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def chosen_windows(at: np.ndarray, hashes: np.ndarray, reach: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """first, last: for each anchor the run of windows, between begin and end, that choose it; first > last where none does.
+
+    at and hashes are those of all anchors in order. A window looks at the positions from its
+    first to reach further on, and chooses the leftmost of least hash: an anchor itself from
+    where no anchor before it has a hash as small up to where none after it has a smaller one.
+    """
+    first, last = np.maximum(at - reach, begin), np.minimum(at, end)
+    for step in range(1, len(at)):
+        near = np.nonzero(at[step:] - at[:-step] <= reach)[0]
+        if not len(near):
+            break
+        i, j = near, near + step
+        left = hashes[i] <= hashes[j]  # the one before wins ties
+        np.maximum.at(first, j[left], at[i[left]] + 1)
+        np.minimum.at(last, i[~left], at[j[~left]] - reach - 1)
+    return first, last

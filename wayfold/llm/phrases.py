@@ -2,9 +2,9 @@
 
 Each window of 20 words chooses an anchor, a phrase of six words in it, by a rule that looks
 at the words alone. Phrases that recur anywhere in the corpus are confirmed by counts, those
-of a shard of documents are compiled into an Aho-Corasick automaton over words, and every
-document streams through its shard's automaton, which locates all occurrences. Only windows
-around them can recur; those are named by 128 bits and compared over the whole corpus.
+of a shard of documents are compiled into an Aho-Corasick automaton, and every document
+streams through its shard's automaton, which locates all occurrences. Only the windows that
+chose them can recur; those are named by 128 bits and compared over the whole corpus.
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from itertools import compress
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import anchors, mixed, passes, recurring_filter, run_hashes
+from .anchors import anchors, chosen_windows, mixed, passes, recurring_filter, run_hashes
 from .common import bounded, stored, text_of
 
 WINDOW = 20
@@ -29,9 +30,6 @@ PHRASE = 6
 SHARD_DOCS = 1000
 SHARD_BYTES = 4_000_000
 MEMO_WORDS = 500_000
-_POWERS = np.array([pow(0xA0761D6478BD642F, k, 1 << 64) for k in range(WINDOW)], np.uint64)
-
-
 class _Words(dict):
     def __init__(self, seed: int):
         self._seed = seed
@@ -75,77 +73,149 @@ def phrase_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_of(text_col)).mapInArrow(run, "hash long, n int")
 
 
+#: Letters of the automata: each word is LETTERS characters of 7 bits, so that a node has few children.
+LETTERS = 4
+
+
+def _spelled(hashes: np.ndarray) -> str:
+    """Words as LETTERS characters each, from the upper bits of their hashes."""
+    parts = [(hashes >> np.uint64(36 + 7 * k) & np.uint64(127)).astype(np.uint8) for k in range(LETTERS)]
+    return np.stack(parts, axis=1).tobytes().decode("latin-1")
+
+
 def _located(shard: _Shard, bits: np.ndarray) -> np.ndarray:
-    """Starts of the windows that hold a recurring phrase, by the shard's automaton."""
-    recurring = shard.anchors[passes(bits, shard.phrases[shard.anchors])]
+    """Places among the shard's anchors at which its automaton finds a recurring phrase."""
+    hashes = shard.phrases[shard.anchors]
+    recurring = shard.anchors[passes(bits, hashes)]
     if not len(recurring):
         return recurring
-    letters = (shard.hashes >> np.uint64(33)).astype(np.int64)
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    text, width = _spelled(shard.hashes), LETTERS * PHRASE
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     _, first = np.unique(shard.phrases[recurring], return_index=True)
-    for at in recurring[first].tolist():
-        automaton.add_word(tuple(letters[at : at + PHRASE].tolist()), 1)
+    for at in (recurring[first] * LETTERS).tolist():
+        automaton.add_word(text[at : at + width])
     automaton.make_automaton()
-    ends = np.fromiter((end for end, _ in automaton.iter(tuple(letters.tolist()))), np.int64)
-    mark = np.zeros(len(shard.words) + 1, np.int64)
-    np.add.at(mark, np.maximum(ends - WINDOW + 1, 0), 1)
-    np.add.at(mark, ends - PHRASE + 2, -1)
-    return np.nonzero((np.cumsum(mark)[: len(shard.whole)] > 0) & shard.whole)[0]
+    ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
+    ends = ends[(ends + 1) % LETTERS == 0]  # the others begin inside a word
+    found = np.zeros(len(shard.words), bool)
+    found[(ends + 1) // LETTERS - PHRASE] = True
+    return np.nonzero(found[shard.anchors])[0]
+
+
+class _Sums:
+    """Hashes of any run of words, by sums of a shard's words times powers."""
+
+    _MULTIPLIER = 0xA0761D6478BD642F
+    _up = _down = np.ones(1, np.uint64)
 
+    @classmethod
+    def _powers(cls, n: int) -> None:
+        if len(cls._up) < n:
+            size = max(n, 2 * len(cls._up))
+            one = np.ones(size, np.uint64)
+            up, down = one.copy(), one.copy()
+            up[1:], down[1:] = np.uint64(cls._MULTIPLIER), np.uint64(pow(cls._MULTIPLIER, -1, 1 << 64))
+            cls._up, cls._down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
-def candidate_windows(docs: DataFrame, bits: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, pos, a, b, again: windows that may recur, their names of 128 bits, and whether the same document has them earlier."""
+    def __init__(self, hashes: np.ndarray):
+        self._powers(len(hashes) + 1)
+        self._sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self._up[: len(hashes)], dtype=np.uint64)])
+
+    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self._sum[end] - self._sum[first]) * self._down[first] + (end - first).astype(np.uint64))
+
+
+def _expanded(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each row, count numbers in all."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
+def occurrences(docs: DataFrame, bits: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The places of recurring phrases: id, hash (of the phrase), kind (a hash of all words of the n windows that chose it), start (of the first window), n, again and windows.
+
+    again has the windows, counted from the first, that the same document has earlier. windows
+    has the hash of each window, once for each kind and shard: where the id is smallest. Equal
+    windows choose equal phrases, so phrase and window, or phrase and kind, are names of 128 bits.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS bound it
-    names = [id_col, "pos", "a", "b", "again"]
+    names = [id_col, "hash", "kind", "start", "n", "again", "windows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, second = _Words(0), _Words(1)
+        memo = _Words(0)
         for batch in bounded(batches, 1, SHARD_BYTES):
             shard = _Shard(batch.column(1).to_pylist(), memo)
-            at = _located(shard, shipped.value)
-            if not len(at):
+            found = _located(shard, shipped.value)
+            if not len(found):
                 continue
-            used = np.zeros(len(shard.words) + 1, np.int64)
-            np.add.at(used, at, 1)
-            np.add.at(used, at + WINDOW, -1)
-            used = np.nonzero(np.cumsum(used) > 0)[0]
-            other = np.zeros(len(shard.words), np.uint64)
-            other[used] = second.of([shard.words[i] for i in used.tolist()])
-            for k in range(0, len(at), 100_000):
-                block = at[k : k + 100_000, None] + np.arange(WINDOW)
-                a, b = (mixed((h[block] * _POWERS).sum(axis=1, dtype=np.uint64)) for h in (shard.hashes, other))
-                if k == 0:
-                    all_a, all_b = a, b
-                else:
-                    all_a, all_b = np.concatenate([all_a, a]), np.concatenate([all_b, b])
+            at = shard.anchors
             doc = shard.doc[at]
-            order = np.lexsort((at, all_b, all_a, doc))
-            same = (doc[order[1:]] == doc[order[:-1]]) & (all_a[order[1:]] == all_a[order[:-1]]) & (all_b[order[1:]] == all_b[order[:-1]])
-            again = np.zeros(len(at), bool)
-            again[order[1:]] = same
+            hashes = shard.phrases[at]
+            first, last = chosen_windows(at, hashes, WINDOW - PHRASE, shard.starts[doc], shard.starts[doc] + shard.sizes[doc] - WINDOW)
+            found = found[first[found] <= last[found]]
+            first, n, doc, hashes = first[found], (last - first)[found] + 1, doc[found], hashes[found]
+            sums = _Sums(shard.hashes)
+            kind = sums.of(first, first + n - 1 + WINDOW)
+
+            again: list = [None] * len(found)
+            key = mixed(hashes ^ mixed(doc.astype(np.uint64) + np.uint64(1)))
+            _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+            rows = np.nonzero(times[which] > 1)[0]
+            if len(rows):
+                places = _expanded(first[rows], n[rows])
+                row = np.repeat(rows, n[rows])
+                own = sums.of(places, places + WINDOW)
+                order = np.lexsort((places, own, key[row]))
+                same = (own[order[1:]] == own[order[:-1]]) & (key[row[order[1:]]] == key[row[order[:-1]]])
+                for i in order[1:][same].tolist():
+                    r = int(row[i])
+                    again[r] = [*(again[r] or []), int(places[i] - first[r])]
+
+            rank = np.empty(batch.num_rows, np.int64)
+            rank[pc.sort_indices(batch.column(0), null_placement="at_end").to_numpy()] = np.arange(batch.num_rows)
+            order = np.lexsort((rank[doc], kind, hashes))
+            lead = np.ones(len(order), bool)
+            lead[1:] = (kind[order[1:]] != kind[order[:-1]]) | (hashes[order[1:]] != hashes[order[:-1]])
+            given = np.zeros(len(order), bool)
+            given[order[lead]] = True
+            places = _expanded(first[given], n[given])
+            offsets = np.concatenate([[0], np.cumsum(np.where(given, n, 0))]).astype(np.int32)
+            windows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.of(places, places + WINDOW).view(np.int64)), mask=pa.array(~given))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), pa.array((at - shard.starts[doc]).astype(np.int32)), pa.array(all_a.view(np.int64)), pa.array(all_b.view(np.int64)), pa.array(again)], names
+                [batch.column(0).take(pa.array(doc)), pa.array(hashes.view(np.int64)), pa.array(kind.view(np.int64)), pa.array((first - shard.starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again, pa.list_(pa.int32())), windows], names
             )
 
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in zip(names[1:], (T.IntegerType(), T.LongType(), T.LongType(), T.BooleanType()), strict=True))])
+    kinds = (T.LongType(), T.LongType(), T.IntegerType(), T.IntegerType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType()))
+    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=True))])
     return docs.select(F.col(id_col), text_of(text_col)).mapInArrow(run, schema)
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, starts: the windows of each document whose words also start earlier, in a document of smaller id or before in the same.
+    """id, runs (array of first, last): windows of each document whose words also start earlier, in a document of smaller id or before in the same.
 
-    A document's first window of a name is told apart from its later ones where it is read, so
-    over the corpus only the smallest id of each name is needed: a sum that is pre-aggregated
-    however common a window is, and a join that may be split where it is hot.
+    Places of one kind have the same windows: all of them are repeated but where the id is the
+    kind's smallest. There a window is repeated if another kind of its phrase has it in a
+    document of smaller id, which only the windows of kinds have to tell, not those of places.
+    All sums are pre-aggregated however common a phrase is, and joins may be split where hot.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SHARD_DOCS))
     bits = recurring_filter(phrase_counts(docs, text_col))
-    found = stored(candidate_windows(docs, bits, id_col, text_col), "windows")
-    once = found.where("not again").select(id_col, "pos", "a", "b")
-    first = once.groupBy("a", "b").agg(F.min(id_col).alias("first_id"))
-    later = once.join(first, ["a", "b"]).where(~F.col(id_col).eqNullSafe(F.col("first_id"))).select(id_col, "pos")
-    gone = later.unionByName(found.where("again").select(id_col, "pos"))
-    return gone.groupBy(id_col).agg(F.collect_set("pos").alias("starts"))
+    found = stored(occurrences(docs, bits, id_col, text_col), "occurrences")
+    kinds = stored(found.groupBy("hash", "kind").agg(F.min(id_col).alias("first_id")), "kinds")
+    several = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("hash")
+    wanted = kinds.join(several, "hash")
+    given = found.where("windows is not null").select(F.col(id_col).alias("_of"), "hash", "kind", "windows")
+    windows = given.join(wanted, ["hash", "kind"]).where(F.col("_of").eqNullSafe(F.col("first_id"))).select("hash", "kind", "first_id", F.posexplode("windows").alias("offset", "window"))
+    windows = stored(windows, "windows")
+    first = windows.groupBy("hash", "window").agg(F.min("first_id").alias("window_id"))
+    earlier = windows.join(first, ["hash", "window"]).where(~F.col("first_id").eqNullSafe(F.col("window_id"))).select("hash", "kind", "offset")
+    of_kind = kinds.join(earlier.groupBy("hash", "kind").agg(F.collect_set("offset").alias("offsets")), ["hash", "kind"], "left")
+    placed = found.select(id_col, "hash", "kind", "start", "n", "again").join(of_kind, ["hash", "kind"])
+    one = lambda offsets: F.transform(offsets, lambda o: F.struct(o.alias("first"), o.alias("last")))
+    none = F.expr("cast(array() as array<struct<first:int,last:int>>)")
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n") - 1).alias("last")))
+    runs = F.when(~F.col(id_col).eqNullSafe(F.col("first_id")), whole).otherwise(F.concat(F.coalesce(one(F.col("offsets")), none), F.coalesce(one(F.col("again")), none)))
+    moved = placed.select(id_col, "start", F.explode(runs).alias("r")).select(id_col, F.struct((F.col("start") + F.col("r.first")).alias("first"), (F.col("start") + F.col("r.last")).alias("last")).alias("r"))
+    return stored(moved.groupBy(id_col).agg(F.collect_set("r").alias("runs")), "runs")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,30 +226,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeat an id must repeat its text, and lose nothing to each other. A null id counts as
     larger than all others. Empty tables give no rows.
     """
-    starts = repeated_windows(docs, id_col, text_col).withColumnRenamed(id_col, "_of")
+    runs = repeated_windows(docs, id_col, text_col).withColumnRenamed(id_col, "_of")
     rows = docs.select(F.col(id_col), text_of(text_col).alias("_text"))
-    joined = rows.join(starts, rows[id_col] == starts["_of"], "left").select(id_col, "_text", "starts")
+    joined = rows.join(runs, rows[id_col] == runs["_of"], "left").select(id_col, "_text", F.col("runs.first").alias("first"), F.col("runs.last").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, removed, kept = [], [], []
-            texts, lists = batch.column(1).to_pylist(), batch.column(2)
-            values, offsets, null = lists.values.to_numpy(), lists.offsets.to_numpy(), lists.is_null().to_numpy(zero_copy_only=False)
-            for i, text in enumerate(texts):
+            for text, first, last in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 words = text.encode().split()
-                gone = 0
-                if not null[i]:
-                    at = values[offsets[i] : offsets[i + 1]]
+                sizes.append(len(words))
+                if first:
                     mark = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(mark, at, 1)
-                    np.add.at(mark, at + WINDOW, -1)
-                    stay = np.cumsum(mark)[:-1] == 0
-                    gone = int(len(words) - stay.sum())
-                    sizes.append(len(words))
-                    words = list(compress(words, stay.tolist()))
-                else:
-                    sizes.append(len(words))
-                removed.append(gone)
+                    np.add.at(mark, np.array(first), 1)
+                    np.add.at(mark, np.array(last) + WINDOW, -1)
+                    words = list(compress(words, (np.cumsum(mark)[:-1] == 0).tolist()))
+                removed.append(sizes[-1] - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], [id_col, "n_words", "n_removed", "text"])
 

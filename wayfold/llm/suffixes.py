@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import anchors, passes, recurring_filter, run_hashes
+from .anchors import anchors, chosen_windows, passes, recurring_filter, run_hashes
 from .common import bounded, stored, text_of
 
 WINDOW = 200
@@ -126,30 +126,13 @@ class _Batch:
         self.anchors = np.nonzero(anchors(self.hashes, WINDOW - RUN + 1, self.whole))[0]
 
     def neighbourhoods(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """anchor, first window, last window: for each recurring anchor the run of windows that chose it.
-
-        A window chooses its leftmost anchor of least hash. That is the anchor itself from where
-        no anchor before it has a hash as small up to where none after it has a smaller one.
-        """
+        """anchor, first window, last window: for each recurring anchor the run of windows that chose it."""
         at = self.anchors
         if not len(at):
             return at, at, at
         hashes = self.hashes[at]
-        n = len(at)
-        reach = WINDOW - RUN
         doc = np.searchsorted(self.starts, at, "right") - 1
-        begin, end = self.starts[doc], self.starts[doc] + self.sizes[doc] - WINDOW
-        first, last = np.maximum(at - reach, begin), np.minimum(at, end)
-        for step in range(1, n):
-            gap = at[step:] - at[:-step]
-            near = gap <= reach
-            if not near.any():
-                break
-            i = np.nonzero(near)[0]
-            j = i + step
-            left = hashes[i] <= hashes[j]  # the one before wins ties
-            np.maximum.at(first, j[left], at[i[left]] + 1)
-            np.minimum.at(last, i[~left], at[j[~left]] - reach - 1)
+        first, last = chosen_windows(at, hashes, WINDOW - RUN, self.starts[doc], self.starts[doc] + self.sizes[doc] - WINDOW)
         keep = passes(bits, hashes) & (first <= last)
         return at[keep], first[keep], last[keep]
 
