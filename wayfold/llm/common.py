@@ -49,7 +49,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends there and survives lost executors."""
     path = shared_path(df.sparkSession, label)
     df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # shuffles end with their query
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -23,9 +23,9 @@ from .common import bounded, stored, text_of
 
 WINDOW = 200
 RUN = 32
-#: Bytes that a shard sorts at once, and neighbourhoods of one anchor that it takes; where an anchor has more, its windows are counted over the corpus.
+#: Bytes that a shard sorts at once, and neighbourhoods of one anchor that it takes at most: under 4.6 MB, which take some 100 times that to sort. Where an anchor has more, its windows are counted over the corpus.
 SHARD_BYTES = 400_000
-SHARD_ROWS = 1000
+SHARD_ROWS = 8000
 BATCH_DOCS = 500
 #: Bytes of text that a worker looks at together.
 BATCH_BYTES = 2_000_000
