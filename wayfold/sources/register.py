@@ -19,7 +19,7 @@ def names(rows: DataFrame, key: str = "id", name: str = "name", language: str =
 def addresses(rows: DataFrame, streets: DataFrame, towns: DataFrame, box: tuple[float, float, float, float]) -> tuple[DataFrame, DataFrame]:
     """Rows (street_id, town_id, house, pos as "x y") with names and coordinates, and how many were dropped for which reason."""
     place = F.split(F.trim("pos"), r"\s+")
-    x, y = F.expr("try_cast(_p[0] as double)"), F.expr("try_cast(_p[1] as double)")
+    x, y = F.expr("try_cast(get(_p, 0) as double)"), F.expr("try_cast(get(_p, 1) as double)")
     named = rows.withColumn("_p", place).withColumn("x", x).withColumn("y", y).drop("_p").join(streets.select(F.col("id").alias("street_id"), F.col("display").alias("street")), "street_id", "left").join(towns.select(F.col("id").alias("town_id"), F.col("display").alias("municipality")), "town_id", "left")
     reason = F.when(F.col("street").isNull(), "no_street").when(F.col("x").isNull() | F.col("y").isNull(), "no_position").when((F.col("x") == 0) & (F.col("y") == 0), "origin").when(~(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3])), "outside")
     judged = named.withColumn("reason", reason)
