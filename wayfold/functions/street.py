@@ -26,7 +26,7 @@ SIGNAL, CROSSING, ELEVATOR = 1, 2, 4
 SPEEDS = {"foot": 1.2, "bike": 4.2, "car": 11.0}
 CONNECTOR_SPEED, ELEVATOR_SECONDS = {"steps": 0.5, "ramp": 0.9}, 45.0
 #: What a metre costs a cyclist by class, plain and with a bicycle sign or unpaved; penalties against one-way; tracks by grade, on good ground and on other.
-HIGHWAY_FACTOR = {"secondary": (1.6, 1.1), "tertiary": (1.4, 1.0), "unclassified": (1.3, 1.0)}
+HIGHWAY_FACTOR = {"trunk": (10.0, 1.5), "primary": (3.0, 1.2), "secondary": (1.6, 1.1), "tertiary": (1.4, 1.0), "unclassified": (1.3, 1.0)}
 BY_GROUND = {"residential": (1.1, 1.5), "living_street": (1.1, 1.5), "service": (1.3, 1.6)}
 OTHER_FACTOR = {"cycleway": 1.0, "pedestrian": 3.0, "bridleway": 5.0}
 ONEWAY = {"primary": 50.0, "secondary": 30.0, "tertiary": 20.0}
@@ -113,13 +113,17 @@ def drive_cost(length, flags, highway, car) -> Column:
     return F.when(car, F.struct(seconds(length, "car").cast("double").alias("time"), variance(flags, highway).alias("variance")))
 
 
-def bike_factor(highway, surface, tracktype, signed, on_route, by_bike, on_foot, against) -> Column:
-    """What a metre counts for a cyclist; null where it is impassable. Steps cost 40, unsafe roads 2 more, a way on foot 4, against a one-way street by its class."""
+def bike_factor(highway, surface, tracktype, signed, on_route, by_bike, on_foot, against, base: float = 0.5, unsafe: float = 2.0, respect_oneway: bool = True) -> Column:
+    """What a metre counts for a cyclist; null where it is impassable.
+
+    Steps cost 40, a road without a sign so much more as it is unsafe, a way on foot 4; against
+    a one-way street there is no way, or, where that isn't respected, a penalty by class.
+    """
     oneway = F.when(against, by_link(highway, ONEWAY, 4.0)).otherwise(0.0)
-    good = surface == "paved"
+    unpaved = surface == "unpaved"
+    good = ((surface == "paved") | signed | (highway == "footway")) & ~unpaved
     grade = F.coalesce(tracktype, F.lit(0)) + 1
     track = F.when(good, F.element_at(F.array(*map(F.lit, TRACK_GOOD)), grade)).otherwise(F.element_at(F.array(*map(F.lit, TRACK_OTHER)), grade))
-    unpaved = surface == "unpaved"
     plain = F.regexp_replace(highway, "_link$", "")
     part = F.when(highway.isin("track", "road", "path", "footway"), track)
     for k, (a, b) in HIGHWAY_FACTOR.items():
@@ -127,8 +131,10 @@ def bike_factor(highway, surface, tracktype, signed, on_route, by_bike, on_foot,
     for k, (a, b) in BY_GROUND.items():
         part = part.when(highway == k, F.when(unpaved, b).otherwise(a))
     part = part.otherwise(lookup(OTHER_FACTOR, highway, 2.0))
+    more = F.when(plain.isin(*HIGHWAY_FACTOR) & ~signed, unsafe).otherwise(0.0)
     closed = highway.isin("motorway", "motorway_link", "other") | (~by_bike & ~on_foot)
-    return F.when(closed, None).when(highway == "steps", 40.0).when(on_route, 1.0 + oneway).otherwise(0.05 + part + F.greatest(oneway, F.when(by_bike, 0.0).otherwise(4.0)))
+    barred = against if respect_oneway else F.lit(False)
+    return F.when(closed, None).when(highway == "steps", 40.0).when(barred, None).when(on_route, 1.0 + oneway).otherwise(base + part + more + F.greatest(oneway, F.when(by_bike, 0.0).otherwise(4.0)))
 
 
 def by_link(highway: Column, table: dict[str, float], default: float) -> Column:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import fares, geo, street, text
+from ..functions import bike, fares, geo, street, text
 from ..operators import address, isochrone, pricing, search, streets
 from . import network as net
 from .network import sql
+from .schedule_queries import _VEC
 
 START, MOST, STEP, REACH, SAMPLES = 28800, 7200, 180, 4, (28800, 30600)
 NODES = 24  # the street lattice has so many nodes a side
@@ -138,8 +139,32 @@ def street_edge_cost(spark, d):
 
 def street_bike_factor(spark, d):
     c = F.col
-    f = street.bike_factor(street.highway_class(c("highway")), street.surface_class(c("surface")), (c("way") % 6).cast("int"), c("quarter") % 2 == 0, c("quarter") % 5 == 0, c("quarter") % 3 != 0, c("quarter") % 4 != 0, c("quarter") % 7 == 0)
-    return _ways(spark, d).select("way", F.round(f, 6).alias("factor"))
+    args = (street.highway_class(c("highway")), street.surface_class(c("surface")), (c("way") % 6).cast("int"), c("quarter") % 2 == 0, c("quarter") % 5 == 0, c("quarter") % 3 != 0, c("quarter") % 4 != 0, c("quarter") % 7 == 0)
+    free = street.bike_factor(*args, base=0.05, unsafe=0.0, respect_oneway=False)
+    return _ways(spark, d).select("way", F.round(street.bike_factor(*args), 6).alias("factor"), F.round(free, 6).alias("free"))
+
+
+def bike_speeds(spark, d):
+    c = F.col
+    cruise = bike.cruise_speed(c("length"), c("elevation"))
+    turn = c("flags") * 0.4
+    corner = bike.corner_speed(cruise, turn, c("length") * 0.5, c("quarter") % 2 == 0)
+    return _ways(spark, d).select("way", F.round(cruise, 6).alias("cruise"), F.round(corner, 6).alias("corner"), F.round(bike.speed_change_seconds(F.lit(5.0), corner), 6).alias("change"), bike.edge_seconds(c("length"), c("elevation"), c("quarter") % 3 == 0, F.coalesce(c("highway") == "steps", F.lit(False))).alias("seconds"))
+
+
+def path_elevation_cost(spark, d):
+    steps = F.array_sort(F.collect_list(F.struct("seq", F.col("delta").cast("double").alias("delta"), F.col("metres").cast("double").alias("metres"))))
+    return _steps(spark, d).groupBy("path").agg(steps.alias("steps")).select("path", F.round(bike.elevation_cost(F.col("steps")), 4).alias("cost"))
+
+
+def option_highlight(spark, d):
+    """Options of each group of vectors, their first axes as time, ascent and surface."""
+    from .schedule_queries import _vectors
+
+    options = F.array_sort(F.collect_list(F.struct("vec_id", F.col("a0").alias("time"), F.col("a1").alias("ascent"), F.col("a2").alias("surface"))))
+    w = {"time": 1.0, "ascent": 0.5, "surface": 0.7}
+    rows = _vectors(spark, d).where("vec_id % 7 = 0").groupBy("grp").agg(options.alias("options"))
+    return rows.select("grp", bike.balanced(F.col("options"), w).alias("balanced"), bike.within(F.col("options"), F.lit(60), w).alias("within"))
 
 
 def _lattice(spark, d):
@@ -265,7 +290,7 @@ def street_collapse(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     geo_distance, geo_project_segment, geo_lambert, point_in_zone, polygon_centroid, advance_along_shape, street_times, isochrone_best, isochrone_average, isochrone_grid, isochrone_exposed, isochrone_contour, isochrone_sample, street_classes, street_edge_cost,
-    street_bike_factor, street_distance_bounded, nearest_stop, ride_push_runs, path_climbs, shared_path_share, fare_tariffs, fare_time_window, fare_fold, zone_pass_cap, text_normalise, station_names, display_labels, box_references, address_tokens, address_matches,
+    street_bike_factor, bike_speeds, path_elevation_cost, option_highlight, street_distance_bounded, nearest_stop, ride_push_runs, path_climbs, shared_path_share, fare_tariffs, fare_time_window, fare_fold, zone_pass_cap, text_normalise, station_names, display_labels, box_references, address_tokens, address_matches,
     address_rank, address_buildings, street_collapse,
 )}
 
@@ -366,9 +391,23 @@ ORACLES = {
       case when highway in ('primary', 'secondary_link', 'tertiary', 'residential', 'motorway') then cast(length * 1000 // 11000 as double) end as drive_time, case when highway in ('primary', 'secondary_link', 'tertiary', 'residential', 'motorway') then var end as drive_variance,
       cast(length * 1000 // 4200 as bigint) as bike_seconds, con as connector, round(case con when 'elevator' then 45.0::double when 'steps' then length / 0.5::double when 'ramp' then length / 0.9::double end, 6) as connector_seconds from v"""),
     "street_bike_factor": sql(_WAYS + """, x as (select way, class, ground, way % 6 + 1 as g, quarter % 2 = 0 as signed, quarter % 5 = 0 as route, quarter % 3 <> 0 as bike, quarter % 4 <> 0 as foot, quarter % 7 = 0 as against from cls),
-      y as (select *, case when against then case class when 'primary' then 50.0 when 'secondary_link' then 30.0 when 'tertiary' then 20.0 else 4.0 end else 0.0 end as pen, case when class in ('path', 'track', 'footway') then case when ground = 'paved' then list_value(1.0, 1.0, 1.1, 1.5, 2.0, 3.0)[g] else list_value(5.0, 1.3, 2.0, 3.0, 5.0, 5.0)[g] end
-        when class = 'secondary_link' then case when signed then 1.1 else 1.6 end when class = 'tertiary' then case when signed then 1.0 else 1.4 end when class = 'residential' then case when ground = 'unpaved' then 1.5 else 1.1 end when class = 'service' then case when ground = 'unpaved' then 1.6 else 1.3 end when class = 'cycleway' then 1.0 else 2.0 end as part from x)
-      select way, round(cast(case when class in ('motorway', 'other') or (not bike and not foot) then null when class = 'steps' then 40.0 when route then 1.0 + pen else 0.05 + part + greatest(pen, case when bike then 0.0 else 4.0 end) end as double), 6) as factor from y"""),
+      y as (select *, case when against then case class when 'primary' then 50.0 when 'secondary_link' then 30.0 when 'tertiary' then 20.0 else 4.0 end else 0.0 end as pen, case when class in ('path', 'track', 'footway') then case when (ground = 'paved' or signed or class = 'footway') and ground <> 'unpaved' then list_value(1.0, 1.0, 1.1, 1.5, 2.0, 3.0)[g] else list_value(5.0, 1.3, 2.0, 3.0, 5.0, 5.0)[g] end
+        when class = 'primary' then case when signed then 1.2 else 3.0 end when class = 'secondary_link' then case when signed then 1.1 else 1.6 end when class = 'tertiary' then case when signed then 1.0 else 1.4 end when class = 'residential' then case when ground = 'unpaved' then 1.5 else 1.1 end when class = 'service' then case when ground = 'unpaved' then 1.6 else 1.3 end when class = 'cycleway' then 1.0 else 2.0 end as part from x),
+      z as (select *, class in ('motorway', 'other') or (not bike and not foot) as closed, case when bike then 0.0 else 4.0 end as acc, case when class in ('primary', 'secondary_link', 'tertiary') and not signed then 2.0 else 0.0 end as unsafe from y)
+      select way, round(cast(case when closed then null when class = 'steps' then 40.0 when against then null when route then 1.0 else 0.5 + part + unsafe + acc end as double), 6) as factor, round(cast(case when closed then null when class = 'steps' then 40.0 when route then 1.0 + pen else 0.05 + part + greatest(pen, acc) end as double), 6) as free from z"""),
+    "bike_speeds": sql(_WAYS + """, w as (select way, class, length, quarter, flags * 0.4::double as turn, atan(elevation / length) as slope from cls), f as (select *, 90.0::double * 9.81::double * (0.006::double * cos(slope) + sin(slope)) as lin, 0.5 * 1.225::double * 0.55::double as cube from w),
+      h as (select way, 0 as i, 0.01::double as lo, 10.0::double as hi, lin, cube from f union all select way, i + 1, case when lin * (lo + hi) / 2 + cube * pow((lo + hi) / 2, 3) < 100 then (lo + hi) / 2 else lo end, case when lin * (lo + hi) / 2 + cube * pow((lo + hi) / 2, 3) < 100 then hi else (lo + hi) / 2 end, lin, cube from h where i < 40),
+      s as (select f.*, greatest(case when f.lin * 10 + f.cube * 1000 <= 100 then 10.0 else (h.lo + h.hi) / 2 end, 0.5) as v from f join h on h.way = f.way and h.i = 40),
+      k as (select *, case when turn <= 1e-6 then v else least(sqrt(case when quarter % 2 = 0 then 8.0 else 3.5 end * greatest(length * 0.5, 10.0) / turn), v) end as c from s)
+      select way, round(v, 6) as cruise, round(c, 6) as corner, round(case when c < 5 then (5 - c) / 2.5 else c - 5 end, 6) as change, cast(floor(length / case when quarter % 3 = 0 then case when class = 'steps' then 0.25::double else 0.9::double end else v end + 0.5) as int) as seconds from k"""),
+    "path_elevation_cost": sql(_STEPS + """, s as (select path, cast(delta as double) as d, cast(metres as double) as m, row_number() over (partition by path order by seq) as n from steps),
+      w as (select path, 0 as n, 0.0::double as dn, 0.0::double as up, 0.0::double as cost from (select distinct path from s) union all select path, n, case when m > 0 then greatest(hd - cd, 0.0) else dn end, case when m > 0 then greatest(hu - cu, 0.0) else up end, cost + case when m > 0 then cd * 100 else 0.0 end from
+        (select *, case when hd > 5 then greatest(hd - 10, 0.0) else 0.0 end as cd, case when hu > 5 then greatest(hu - 10, 0.0) else 0.0 end as cu from (select w.path, s.n, w.dn, w.up, w.cost, s.m, w.dn - s.d - s.m * 0.5::double / 100 as hd, w.up + s.d - s.m * 1.5::double / 100 as hu from w join s on s.path = w.path and s.n = w.n + 1)))
+      select path, round(arg_max(cost, n), 4) as cost from w group by path"""),
+    "option_highlight": sql(_VEC + """, o as (select grp, vec_id, a0, a1, a2, row_number() over (partition by grp order by vec_id) - 1 as i from v where vec_id % 7 = 0),
+      scored as (select *, case when a0 <= 60 then 1 else 0 end as fits, coalesce((a0 - min(a0) over g) / nullif(max(a0) over g - min(a0) over g, 0)::double, 0) + 0.5::double * coalesce((a1 - min(a1) over g) / nullif(max(a1) over g - min(a1) over g, 0)::double, 0) + 0.7::double * coalesce((a2 - min(a2) over g) / nullif(max(a2) over g - min(a2) over g, 0)::double, 0) as s,
+        coalesce((a0 - min(a0) over f) / nullif(max(a0) over f - min(a0) over f, 0)::double, 0) + 0.5::double * coalesce((a1 - min(a1) over f) / nullif(max(a1) over f - min(a1) over f, 0)::double, 0) + 0.7::double * coalesce((a2 - min(a2) over f) / nullif(max(a2) over f - min(a2) over f, 0)::double, 0) as t from o window g as (partition by grp), f as (partition by grp, a0 <= 60))
+      select grp, cast(arg_min(i, (s, i)) as int) as balanced, cast(case when max(fits) = 1 then arg_min(i, (t, i)) filter (fits = 1) else arg_min(i, (a0, i)) end as int) as within from scored group by grp"""),
     "street_distance_bounded": sql(_LATTICE + " select request, node, min(seconds) as seconds from walk group by request, node"),
     "nearest_stop": sql(f", p as (select request as point, 50 + request % 97 * cast(0.0004 as double) as y, 4 + request % 89 * cast(0.0007 as double) as x from requests), m as (select p.point, s.stop as node, {_hav('p.y', 'p.x', 's.lat', 's.lon')} as m from p, stops s) select point, node, round(m, 4) as metres from (select *, row_number() over (partition by point order by m, node) as k from m where m <= 400) where k = 1"),
     "ride_push_runs": sql(_STEPS + ", a as (select *, case when push = lag(push) over (partition by path order by seq) then 0 else 1 end as nw from steps), b as (select *, sum(nw) over (partition by path order by seq) as run from a) select path, run, bool_or(push) as push, sum(seconds) as seconds, sum(metres) as metres from b group by path, run"),
