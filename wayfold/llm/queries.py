@@ -108,8 +108,19 @@ select e.vec_id, coalesce(c.n, 0) as n_links, r.component_id, e.vec_id = r.compo
 from embeddings e join roots r on r.u = e.vec_id left join counts c on c.u = e.vec_id
 """
 
+_PHRASES = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+w as (select doc_id, s, array_to_string(ws[s:s + 19], ' ') as k from (select doc_id, ws, unnest(range(1, len(ws) - 18)) as s from d)),
+f as (select doc_id, s, row_number() over (partition by k order by doc_id, s) as r from w),
+gone as (select distinct doc_id, s + o as p from f, (select unnest(range(20)) as o) where r > 1),
+words as (select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as p from d),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from words anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, len(d.ws) as n_words, len(d.ws) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.t, '')) as kept_sha256 from d left join kept k using (doc_id)
+"""
+
 ORACLES = {
     "op3_epsilon_grid": _EMBEDDINGS,
     "op2_secret_scan": _SECRETS,
+    "op5_phrase_automata": _PHRASES,
     "op9_exact_dedup": _EXACT,
 }
