@@ -208,7 +208,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows = stored(windows, "windows")
     first = windows.groupBy("hash", "window").agg(F.min("first_id").alias("window_id"))
     earlier = windows.join(first, ["hash", "window"]).where(~F.col("first_id").eqNullSafe(F.col("window_id"))).select("hash", "kind", "offset")
-    of_kind = kinds.join(earlier.groupBy("hash", "kind").agg(F.collect_set("offset").alias("offsets")), ["hash", "kind"], "left")
+    of_kind = stored(kinds.join(earlier.groupBy("hash", "kind").agg(F.collect_set("offset").alias("offsets")), ["hash", "kind"], "left"), "kinds")  # read again, so that the join below may be split
     placed = found.select(id_col, "hash", "kind", "start", "n", "again").join(of_kind, ["hash", "kind"])
     one = lambda offsets: F.transform(offsets, lambda o: F.struct(o.alias("first"), o.alias("last")))
     none = F.expr("cast(array() as array<struct<first:int,last:int>>)")
