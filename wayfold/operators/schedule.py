@@ -117,13 +117,22 @@ def cross_route(ways: DataFrame, board: int, alight: int, around: int, exclude_l
 
 
 def backups(ways: DataFrame, legs: DataFrame, before: int, after: int) -> DataFrame:
-    """For each leg (leg, trip, board, alight, dep) other trips between its stops: the last so many before, the first so many after."""
-    other = ways.select(F.col("trip").alias("other"), "board", "alight", F.col("dep").alias("other_dep"), F.col("arr").alias("other_arr"))
-    found = legs.join(other, ["board", "alight"]).where("other <> leg").groupBy("leg", "other", "dep").agg(F.min(F.struct("other_dep", "other_arr")).alias("x")).select("leg", "other", "dep", "x.*")
-    earlier = F.row_number().over(Window.partitionBy("leg", "early").orderBy(F.desc("other_dep"), "other"))
-    later = F.row_number().over(Window.partitionBy("leg", "early").orderBy("other_dep", "other"))
-    split = found.withColumn("early", F.col("other_dep") < F.col("dep"))
-    return split.where("early").withColumn("rank", earlier).where(F.col("rank") <= before).unionByName(split.where("not early").withColumn("rank", later).where(F.col("rank") <= after)).select("leg", "other", "other_dep", "other_arr", "early", "rank")
+    """For each leg (leg, trip, board, alight, dep) other trips between its stops: the last so many before, the first so many after.
+
+    As in departures, legs find their place among the ranked trips of their pair of stops, and
+    only the ranks around it join; one more to either side makes up for the leg's own trip.
+    """
+    pair = ["board", "alight"]
+    once = ways.groupBy(*pair, F.col("trip").alias("other")).agg(F.min(F.struct("dep", "arr")).alias("x")).select(*pair, "other", F.col("x.dep").alias("other_dep"), F.col("x.arr").alias("other_arr"))
+    ranked = once.withColumn("n", F.row_number().over(Window.partitionBy(*pair).orderBy("other_dep", "other")))
+    marks = ranked.select(*pair, F.col("other_dep").alias("dep"), F.lit(None).cast("long").alias("leg"), "n").unionByName(legs.select(*pair, "dep", F.col("leg").cast("long"), F.lit(None).cast("int").alias("n")))
+    run = Window.partitionBy(*pair).orderBy("dep", F.col("leg").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = marks.withColumn("at", F.coalesce(F.max("n").over(run), F.lit(0))).where("leg is not null")
+    near = placed.select(*pair, "leg", "dep", F.explode(F.sequence(F.col("at") - before, F.col("at") + after + 1)).alias("n"))
+    found = near.join(ranked, [*pair, "n"]).where("other <> leg").withColumn("early", F.col("other_dep") < F.col("dep"))
+    side = Window.partitionBy("leg", "early")
+    rank = F.when(F.col("early"), F.row_number().over(side.orderBy(F.desc("other_dep"), F.desc("other")))).otherwise(F.row_number().over(side.orderBy("other_dep", "other")))
+    return found.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("early"), before).otherwise(after)).select("leg", "other", "other_dep", "other_arr", "early", "rank")
 
 
 def latest_departure(ways: DataFrame, asked: DataFrame) -> DataFrame:

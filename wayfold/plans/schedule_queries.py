@@ -270,7 +270,7 @@ ORACLES = {
     "cross_route_departures_before": sql(_WAYS + " " + _CROSS.format(o="desc", c="< 50000")),
     "station_backups": sql(_WAYS + """, legs as (select trip as leg, board, alight, dep from ways where trip % 50 = 0 and board_pos = 1 and alight_pos = 4),
       f as (select leg, other, other_dep, other_arr, other_dep < dep as early from (select l.leg, l.dep, w.trip as other, w.dep as other_dep, w.arr as other_arr, row_number() over (partition by l.leg, w.trip order by w.dep, w.arr) as k from legs l join ways w on w.board = l.board and w.alight = l.alight and w.trip <> l.leg) where k = 1),
-      r as (select *, case when early then row_number() over (partition by leg, early order by other_dep desc, other) else row_number() over (partition by leg, early order by other_dep, other) end as rank from f)
+      r as (select *, case when early then row_number() over (partition by leg, early order by other_dep desc, other desc) else row_number() over (partition by leg, early order by other_dep, other) end as rank from f)
       select leg, other, other_dep, other_arr, early, rank from r where rank <= case when early then 2 else 3 end"""),
     "leg_times": sql(_RIDES.format(st="stop_times") + ", legs as (select distinct request * 11 % nt as trip, origin as board, destination as alight from requests, nt) select trip, board, alight, dep, arr from (select w.trip, w.board, w.alight, w.dep, w.arr, row_number() over (partition by w.trip, w.board, w.alight order by w.dep, w.arr) as k from ways w join legs l using (trip, board, alight)) where k = 1"),
     "latest_departure_before_arrival": sql(_WAYS + """ select request, trip, dep, arr from (select q.request, w.trip, w.dep, w.arr, row_number() over (partition by q.request order by w.dep desc, w.trip, w.arr desc) as k from requests q join ways w on w.board = q.origin and w.alight = q.destination and w.arr <= q."start" + 14400) where k = 1"""),
