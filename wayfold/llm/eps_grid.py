@@ -22,9 +22,10 @@ from .common import stored
 from .components import components, forest
 
 THRESHOLD = 0.95
-#: Principal axes that make the grid, vectors in a block, and vectors in a piece that is multiplied out.
+#: Principal axes that make the grid, vectors in a block, blocks in a part of the sequence, and vectors in a piece that is multiplied out.
 AXES = 4
 BLOCK = 2048
+PART_BLOCKS = 4
 PIECE = 256
 
 
@@ -89,7 +90,8 @@ def blocks(classes: DataFrame, width: int, axes: np.ndarray, eps: float) -> Data
             )
 
     placed = classes.select("id", "n", "x").mapInArrow(cells, "id long, n long, size int, unit array<double>, cell array<int>, at array<double>")
-    ordered = placed.repartitionByRange("cell", "at").sortWithinPartitions("cell", "at", "id")
+    parts = max(1, math.ceil(classes.count() / (PART_BLOCKS * BLOCK)))
+    ordered = placed.repartitionByRange(parts, "cell", "at").sortWithinPartitions("cell", "at", "id").coalesce(parts)  # neighbouring ranges stay together: blocks are full however many ranges there are
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
