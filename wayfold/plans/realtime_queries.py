@@ -41,11 +41,11 @@ def two_vehicle_reliability(spark, d):
 
 
 def arrival_distribution(spark, d):
-    """Two scenarios of each tenth trip, this one and the next of its line, spread by the line's delays."""
+    """Two scenarios of each trip, this one and the next of its line, spread by the line's delays."""
     times = net.active_stop_times(spark, d)
     from ..operators.schedule import following_trips
 
-    ride = following_trips(times).where("pos = 4 and trip % 10 = 0").join(times.where("pos = 5").select("trip", F.col("arr").alias("hit")), "trip").withColumn("mode", route_type())
+    ride = following_trips(times).where("pos = 4").join(times.where("pos = 5").select("trip", F.col("arr").alias("hit")), "trip").withColumn("mode", route_type())
     p = F.lit(0.75)
     bag = rel.scenarios(F.col("hit"), p, F.col("next_end"))
     spread = ride.join(F.broadcast(_bins(spark, d)), "mode").select("trip", "hit", F.explode(bag).alias("s"), "bins").select("trip", "s", F.explode(rel.mass(F.col("bins"))).alias("m"))  # a row per mode
@@ -62,7 +62,7 @@ def delay_forward_fill(spark, d):
 
 
 def live_overlay(spark, d):
-    return rt.overlay(net.stop_times(spark, d).where("trip % 7 = 0"), _live(spark, d).where("trip % 7 = 0")).select("trip", "pos", "stop", "arr", "dep")
+    return rt.overlay(net.stop_times(spark, d), _live(spark, d)).select("trip", "pos", "stop", "arr", "dep")
 
 
 def vehicle_latest(spark, d):
@@ -106,7 +106,7 @@ def _alerts(spark, d):
 def _legs(spark, d):
     from ..operators.schedule import rides
 
-    return rides(net.stop_times(spark, d)).where("board_pos = 1 and alight_pos = 4 and trip % 20 = 0").select(F.col("trip").alias("leg"), "trip", "line", "board", "alight", "board_pos", "alight_pos", F.lit(NOW).alias("now"))
+    return rides(net.stop_times(spark, d)).where("board_pos = 1 and alight_pos = 4").select(F.col("trip").alias("leg"), "trip", "line", "board", "alight", "board_pos", "alight_pos", F.lit(NOW).alias("now"))
 
 
 def alerts_for_leg(spark, d):
