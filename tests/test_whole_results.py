@@ -2,7 +2,6 @@
 
 import os
 
-import duckdb
 import pytest
 from oracle import DATA, compare, connection
 
@@ -33,3 +32,22 @@ def _whole(name: str, subset: str, instead: str = "") -> str:
 )
 def test_all_trips(spark, con, name, subset):
     compare(spark, con, plans.QUERIES[name], _whole(name, subset))
+
+
+def test_all_legs_and_requests(spark, con):
+    compare(spark, con, plans.QUERIES["station_backups"], _whole("station_backups", "trip % 50 = 0 and "))
+    compare(spark, con, plans.QUERIES["onboard_arrival"], _whole("onboard_arrival", " where request % 10 = 0"))
+
+
+def test_odd_lines_run_unshifted(spark, con):
+    text = _whole("overnight_union", " where line % 2 = 0").replace("arr + 43200 as arr, dep + 43200 as dep", "arr + case when line % 2 = 0 then 43200 else 0 end as arr, dep + case when line % 2 = 0 then 43200 else 0 end as dep")
+    compare(spark, con, plans.QUERIES["overnight_union"], text)
+
+
+def test_an_odd_line_is_ridden(spark, tmp_path):
+    spark.createDataFrame([(k, f"s{k}", 0) for k in range(15)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(1, 1, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.stop: r.arr for r in plans.QUERIES["overnight_union"](spark, str(tmp_path)).collect()}
+    assert got[2] == 10800 + 720  # on foot
+    assert (got[5], got[8]) == (18397, 18697)  # by line 1, from stop 2 at 18117
+    assert got[14] == 18397 + 720  # on foot from stop 5, before the trip gets there

@@ -92,7 +92,7 @@ def cross_route_departures_before(spark, d):
 
 def station_backups(spark, d):
     ways = _ways(spark, d)
-    legs = ways.where("trip % 50 = 0 and board_pos = 1 and alight_pos = 4").select(F.col("trip").alias("leg"), "board", "alight", "dep")
+    legs = ways.where("board_pos = 1 and alight_pos = 4").select(F.col("trip").alias("leg"), "board", "alight", "dep")
     return schedule.backups(ways, legs, 2, 3)
 
 
@@ -140,9 +140,9 @@ def range_profile(spark, d):
 
 
 def overnight_union(spark, d):
-    """A query at 03:00 also takes yesterday's services, a day later; trips are shifted by half a day so that some run past midnight."""
-    base = net.stop_times(spark, d).where("line % 2 = 0")
-    late = base.withColumns({"arr": F.col("arr") + 43200, "dep": F.col("dep") + 43200})
+    """A query at 03:00 also takes yesterday's services, a day later; trips of even lines are shifted by half a day so that some run past midnight."""
+    shift = F.when(F.col("line") % 2 == 0, 43200).otherwise(0)
+    late = net.stop_times(spark, d).withColumns({"arr": F.col("arr") + shift, "dep": F.col("dep") + shift})
     today = late.where(F.col("svc") != INACTIVE)
     yesterday = late.where("svc <> 4").withColumns({"trip": F.col("trip") + 10_000_000, "arr": F.col("arr") - 86400, "dep": F.col("dep") - 86400}).where("arr >= 0")
     seeds = spark.createDataFrame([(0, 0, 10800)], "request long, stop long, arr int")
@@ -150,7 +150,7 @@ def overnight_union(spark, d):
 
 
 def onboard_arrival(spark, d):
-    riders = net.requests(spark, d).where("request % 10 = 0").select("request", (F.col("request") * 13 % net.n_trips(spark, d)).alias("trip"), F.lit(1).alias("pos"))
+    riders = net.requests(spark, d).select("request", (F.col("request") * 13 % net.n_trips(spark, d)).alias("trip"), F.lit(1).alias("pos"))
     times = net.active_stop_times(spark, d)
     seeds = search.onboard_seeds(net.stop_times(spark, d), riders)
     return search.earliest_arrival(seeds, times, net.transfers(spark, d), rounds=1, unrolled=True)
