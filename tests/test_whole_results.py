@@ -51,3 +51,59 @@ def test_an_odd_line_is_ridden(spark, tmp_path):
     assert got[2] == 10800 + 720  # on foot
     assert (got[5], got[8]) == (18397, 18697)  # by line 1, from stop 2 at 18117
     assert got[14] == 18397 + 720  # on foot from stop 5, before the trip gets there
+
+
+def _fixpoint(stop_times, walks, seeds):
+    """request, stop: arr by rounds over plain lists until nothing improves; and how many rounds did."""
+    trips = {}
+    for trip, pos, stop, arr, dep in sorted(stop_times):
+        trips.setdefault(trip, []).append((stop, arr, dep))
+    out, most = {}, 0
+    for request, origin, start in seeds:
+
+        def walked(labels):
+            got = dict(labels)
+            for f, t, w in walks:
+                if f in labels:
+                    got[t] = min(got.get(t, 10**9), labels[f] + w)
+            return got
+
+        best, rounds = walked({origin: start}), 0
+        while True:
+            got = {}
+            for stops in trips.values():
+                on = False
+                for stop, arr, dep in stops:
+                    if on:
+                        got[stop] = min(got.get(stop, 10**9), arr)
+                    on = on or stop in best and best[stop] <= dep < best[stop] + 3600
+            better = {s: a for s, a in walked(got).items() if a < best.get(s, 10**9)}
+            if not better:
+                break
+            best, rounds = best | better, rounds + 1
+        most = max(most, rounds)
+        out |= {(request, s): a for s, a in best.items()}
+    return out, most
+
+
+def test_fixpoint_of_all_requests(spark):
+    from wayfold.plans import network as net
+
+    times = [tuple(r) for r in net.active_stop_times(spark, DATA).select("trip", "pos", "stop", "arr", "dep").collect()]
+    walks = [tuple(r) for r in net.transfers(spark, DATA).select("f", "t", "w").collect()]
+    seeds = [tuple(r) for r in net.requests(spark, DATA).select("request", "origin", "start").collect()]
+    got = {(r.request, r.stop): r.arr for r in plans.QUERIES["earliest_arrival_fixpoint"](spark, DATA).collect()}
+    assert got == _fixpoint(times, walks, seeds)[0]
+
+
+def test_fixpoint_takes_as_many_boardings_as_it_needs(spark):
+    """A chain of trips of one hop each."""
+    from wayfold.operators import search
+
+    hops = [(k, 0, k, 1000 * k, 1000 * k + 20) for k in range(25)] + [(k, 1, k + 1, 1000 * k + 500, 1000 * k + 520) for k in range(25)]
+    want, rounds = _fixpoint(hops, [], [(0, 0, 0)])
+    assert rounds == 25
+    times = spark.createDataFrame([(t, 0, 1, pos, stop, arr, dep) for t, pos, stop, arr, dep in hops], "trip long, line int, svc int, pos int, stop long, arr int, dep int")
+    seeds = spark.createDataFrame([(0, 0, 0)], "request long, stop long, arr int")
+    none = spark.createDataFrame([], "f long, t long, w int")
+    assert {(r.request, r.stop): r.arr for r in search.earliest_arrival(seeds, times, none, rounds=None).collect()} == want

@@ -7,6 +7,8 @@ hour, so that a label looks at the departures of its horizon and not of the day.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,15 +42,15 @@ def walk(labels: DataFrame, transfers: DataFrame) -> DataFrame:
     return labels.select("request", "stop", "arr").unionByName(on_foot).groupBy("request", "stop").agg(F.min("arr").alias("arr"))
 
 
-def earliest_arrival(seeds: DataFrame, stop_times: DataFrame, transfers: DataFrame, rounds: int = MOST_ROUNDS, horizon: int = HORIZON, unrolled: bool = False) -> DataFrame:
-    """request, stop, arr: the earliest arrival by at most so many boardings, with a walk after each ride and at the start.
+def earliest_arrival(seeds: DataFrame, stop_times: DataFrame, transfers: DataFrame, rounds: int | None = MOST_ROUNDS, horizon: int = HORIZON, unrolled: bool = False) -> DataFrame:
+    """request, stop, arr: the earliest arrival by at most so many boardings, by any number where rounds is None, with a walk after each ride and at the start.
 
     Only labels that the last round improved are looked at again. Unrolled, the rounds are one
     plan; otherwise each ends in the shared folder and the search stops when nothing improves.
     """
     best = walk(seeds, transfers)
     fresh = best
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         reached = walk(ride(board(fresh, stop_times, horizon), stop_times), transfers)
         if unrolled:
             best = best.unionByName(reached).groupBy("request", "stop").agg(F.min("arr").alias("arr"))

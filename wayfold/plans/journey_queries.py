@@ -51,9 +51,9 @@ def smooth_profiles(spark, d):
 
 
 def earliest_arrival_fixpoint(spark, d):
-    """The loop instead of the unrolled plan, to its fixpoint."""
-    seeds = net.requests(spark, d).where("request % 25 = 0").select("request", F.col("origin").alias("stop"), F.col("start").alias("arr"))
-    return search.earliest_arrival(seeds, net.active_stop_times(spark, d), net.transfers(spark, d), rounds=4)
+    """The loop instead of the unrolled plan, for all requests to its fixpoint."""
+    seeds = net.requests(spark, d).select("request", F.col("origin").alias("stop"), F.col("start").alias("arr"))
+    return search.earliest_arrival(seeds, net.active_stop_times(spark, d), net.transfers(spark, d), rounds=None)
 
 
 _PATH = """
