@@ -107,3 +107,8 @@ def test_fixpoint_takes_as_many_boardings_as_it_needs(spark):
     seeds = spark.createDataFrame([(0, 0, 0)], "request long, stop long, arr int")
     none = spark.createDataFrame([], "f long, t long, w int")
     assert {(r.request, r.stop): r.arr for r in search.earliest_arrival(seeds, times, none, rounds=None).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["platform_match", "platform_report"])
+def test_all_platforms(spark, con, name):
+    compare(spark, con, plans.QUERIES[name], _whole(name, " where c_custkey % 5 = 0"))

@@ -16,7 +16,7 @@ AGENCIES = ("City/Red", "Blue Line", "north", "Green", "Yellow", "Violet", "Grey
 
 def _platforms(spark, d):
     c = F.col("c_custkey")
-    found = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 5 = 0").select(c.alias("platform"), (50 + c % 91 * 0.0004).alias("b_lat"), (4 + c % 83 * 0.0007).alias("b_lon"), F.concat(F.lit("P"), (c % 4).cast("string")).alias("b_code"))
+    found = spark.read.parquet(f"{d}/customer.parquet").select(c.alias("platform"), (50 + c % 91 * 0.0004).alias("b_lat"), (4 + c % 83 * 0.0007).alias("b_lon"), F.concat(F.lit("P"), (c % 4).cast("string")).alias("b_code"))
     stops = net.stops(spark, d).select("stop", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.when(F.col("stop") % 9 != 0, F.concat(F.lit("P"), (F.col("stop") % 4).cast("string"))).alias("a_code"))
     return stations.platforms(stops, found)
 
