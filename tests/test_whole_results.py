@@ -112,3 +112,22 @@ def test_fixpoint_takes_as_many_boardings_as_it_needs(spark):
 @pytest.mark.parametrize("name", ["platform_match", "platform_report"])
 def test_all_platforms(spark, con, name):
     compare(spark, con, plans.QUERIES[name], _whole(name, " where c_custkey % 5 = 0"))
+
+
+def test_all_vectors_are_options(spark, con):
+    compare(spark, con, plans.QUERIES["option_highlight"], _whole("option_highlight", " where vec_id % 7 = 0"))
+
+
+def test_highlights_by_aggregates_equal_those_of_arrays(spark):
+    from pyspark.sql import functions as F
+
+    from wayfold.functions import bike
+    from wayfold.operators import itinerary
+
+    w = {"time": 1.0, "ascent": 0.5, "surface": 0.7}
+    rows = [(k % 7, k, (k * 37) % 11 + (200 if k % 7 == 3 else 0), (k * 53) % 5, (k * 29) % 3) for k in range(300)] + [(9, 1, 5, 5, 5), (9, 1, 5, 5, 5)]
+    options = spark.createDataFrame(rows, "grp long, vec_id long, time int, ascent int, surface int")
+    arrays = options.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("vec_id", *w))).alias("o"))
+    for window in (4, 60):
+        want = arrays.select("grp", bike.balanced(F.col("o"), w), bike.within(F.col("o"), F.lit(window), w)).collect()
+        assert sorted(map(tuple, itinerary.highlight(options, "grp", "vec_id", w, window).collect())) == sorted(map(tuple, want))

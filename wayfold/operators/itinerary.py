@@ -67,3 +67,27 @@ def vehicle_places(stop_times: DataFrame, stops: DataFrame, now: int) -> DataFra
     b = stops.select(F.col("stop").alias("next"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
     share = F.greatest(F.lit(0.0), (F.lit(now) - F.col("dep")) / (F.col("next_arr") - F.col("dep")))
     return at.join(a, "stop").join(b, "next").select("trip", "pos", (F.col("lat1") + (F.col("lat2") - F.col("lat1")) * share).alias("lat"), (F.col("lon1") + (F.col("lon2") - F.col("lon1")) * share).alias("lon"))
+
+
+def highlight(options: DataFrame, group: str, index: str, weights: dict[str, float], window: int) -> DataFrame:
+    """group, balanced, within: as bike.balanced and bike.within over a group's options in the order of index, by aggregates whatever a group's size.
+
+    Axes are whole numbers. The picks are rows at first; a count of the rows before each gives its place.
+    """
+    first, *_ = weights
+    fits = F.col(first) <= window
+    spans = [f(F.when(fits, F.col(a)) if of == "fit" else F.col(a)).alias(f"_{of}_{at}_{a}") for of in ("all", "fit") for a in weights for at, f in (("low", F.min), ("high", F.max))]
+    ranged = options.join(options.groupBy(group).agg(*spans), group)
+
+    def score(of: str) -> Column:
+        total = F.lit(0.0)
+        for axis, w in weights.items():
+            low, high = F.col(f"_{of}_low_{axis}"), F.col(f"_{of}_high_{axis}")
+            total = total + F.when(high > low, w * (F.col(axis) - low) / (high - low)).otherwise(0.0)
+        return total
+
+    row = F.struct(index, *weights)
+    least = lambda key, when=None: F.min(F.struct(key.alias("key"), row.alias("row")) if when is None else F.when(when, F.struct(key.alias("key"), row.alias("row"))))["row"]
+    picked = ranged.groupBy(group).agg(least(score("all")).alias("_balanced"), F.coalesce(least(score("fit"), fits), least(F.col(first))).alias("_within"))
+    before = lambda pick: F.count(F.when(row < F.col(pick), 1)).cast("int")
+    return options.join(picked, group).groupBy(group).agg(before("_balanced").alias("balanced"), before("_within").alias("within"))

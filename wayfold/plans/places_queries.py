@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bike, fares, geo, street, text
-from ..operators import address, isochrone, pricing, search, streets
+from ..operators import address, isochrone, itinerary, pricing, search, streets
 from . import network as net
 from .network import sql
 from .schedule_queries import _VEC
@@ -158,13 +158,11 @@ def path_elevation_cost(spark, d):
 
 
 def option_highlight(spark, d):
-    """Options of each group of vectors, their first axes as time, ascent and surface."""
+    """Options of each group of vectors in the order of ids, their first axes as time, ascent and surface."""
     from .schedule_queries import _vectors
 
-    options = F.array_sort(F.collect_list(F.struct("vec_id", F.col("a0").alias("time"), F.col("a1").alias("ascent"), F.col("a2").alias("surface"))))
-    w = {"time": 1.0, "ascent": 0.5, "surface": 0.7}
-    rows = _vectors(spark, d).where("vec_id % 7 = 0").groupBy("grp").agg(options.alias("options"))
-    return rows.select("grp", bike.balanced(F.col("options"), w).alias("balanced"), bike.within(F.col("options"), F.lit(60), w).alias("within"))
+    options = _vectors(spark, d).select("grp", "vec_id", F.col("a0").alias("time"), F.col("a1").alias("ascent"), F.col("a2").alias("surface"))
+    return itinerary.highlight(options, "grp", "vec_id", {"time": 1.0, "ascent": 0.5, "surface": 0.7}, 60)
 
 
 def _lattice(spark, d):
