@@ -28,7 +28,7 @@ def _sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
 
 
 def run_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
-    """A hash of symbols[i : i + length] for each i where that many are left."""
+    """A hash of symbols[i : i + length] for each i where that many are left; never 0, which anchors() takes for none."""
     if len(symbols) < length:
         return np.zeros(0, np.uint64)
     have, out = 1, symbols.astype(np.uint64)
@@ -48,7 +48,7 @@ def run_hashes(symbols: np.ndarray, length: int) -> np.ndarray:
             factor = np.uint64(pow(int(multiplier), size, 1 << 64))
             total = piece.copy() if total is None else total * factor + piece
             at += size
-    return mixed(total)
+    return np.maximum(mixed(total), np.uint64(1))
 
 
 def anchors(hashes: np.ndarray, width: int, valid: np.ndarray) -> np.ndarray:
