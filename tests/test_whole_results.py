@@ -131,3 +131,17 @@ def test_highlights_by_aggregates_equal_those_of_arrays(spark):
     for window in (4, 60):
         want = arrays.select("grp", bike.balanced(F.col("o"), w), bike.within(F.col("o"), F.lit(window), w)).collect()
         assert sorted(map(tuple, itinerary.highlight(options, "grp", "vec_id", w, window).collect())) == sorted(map(tuple, want))
+
+
+def test_streets_below_the_first_million_hits_stay(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from wayfold.plans import places_queries
+
+    n = 1_000_000
+    street = F.when(F.col("id") < n, "main").otherwise("mainly").alias("street")
+    records = spark.range(n + 1).select(F.col("id").alias("record"), street, F.lit("town").alias("municipality"), F.lit("1").alias("house"), F.lit(50.0).alias("lat"), F.lit(4.0).alias("lon"))
+    monkeypatch.setattr(places_queries, "_records", lambda spark, d: records)
+    monkeypatch.setattr(places_queries, "_queries", lambda spark: spark.createDataFrame([(1, "main")], "query long, text string"))
+    got = {(r.street, r.record) for r in plans.QUERIES["street_collapse"](spark, DATA).collect()}
+    assert got == {("main", 0), ("mainly", n)}

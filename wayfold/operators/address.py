@@ -44,8 +44,8 @@ def token_matches(asked: DataFrame, index: DataFrame) -> DataFrame:
     return best.withColumn("fuzzy", F.col("weight") <= FUZZY)
 
 
-def rank(queries: DataFrame, records: DataFrame, limit: int, focus: tuple[float, float] | None = None) -> DataFrame:
-    """query, record, score, rank: records of which street or town matches every word and house number every number, best first, then by record.
+def hits(queries: DataFrame, records: DataFrame, focus: tuple[float, float] | None = None) -> DataFrame:
+    """query, record, score, street, municipality: all records of which street or town matches every word and house number every number.
 
     A record's score is the mean weight of the words, more for an equal house number, less with
     distance from the focus.
@@ -63,13 +63,18 @@ def rank(queries: DataFrame, records: DataFrame, limit: int, focus: tuple[float,
     best = used.groupBy("query", "street", "municipality", "i").agg(F.max("weight").alias("weight")).groupBy("query", "street", "municipality").agg(F.avg("weight").alias("base"), F.count(F.lit(1)).alias("n"))
     full = best.join(words, "query").where("n = words")
     house = text.normalise(F.col("house"))
-    hits = full.join(records, ["street", "municipality"]).where(F.forall("numbers", lambda n: house.startswith(n)))
+    every = full.join(records, ["street", "municipality"]).where(F.forall("numbers", lambda n: house.startswith(n)))
     score = F.col("base") * F.when(F.array_contains("numbers", house), HOUSE).otherwise(1.0)
     if focus is not None:
         km = haversine(F.lit(focus[0]), F.lit(focus[1]), F.col("lat"), F.col("lon")) / 1000
         score = score * decay(km)
+    return every.withColumn("score", F.round(score, 9)).select("query", "record", "score", "street", "municipality")
+
+
+def rank(queries: DataFrame, records: DataFrame, limit: int, focus: tuple[float, float] | None = None) -> DataFrame:
+    """query, record, score, rank, street, municipality: the hits of each query up to the limit, best first, then by record."""
     order = Window.partitionBy("query").orderBy(F.desc("score"), "record")
-    return hits.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "record", "score", "rank", "street", "municipality")
+    return hits(queries, records, focus).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("query", "record", "score", "rank", "street", "municipality")
 
 
 def decay(km):

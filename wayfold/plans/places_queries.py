@@ -282,7 +282,7 @@ def address_buildings(spark, d):
 
 def street_collapse(spark, d):
     records = _records(spark, d)
-    ranked = address.rank(_queries(spark), records, 1_000_000)
+    ranked = address.hits(_queries(spark), records)
     return address.collapse(ranked, records).select("query", "street", F.round("score", 6).alias("score"), "record", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
