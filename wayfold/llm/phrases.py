@@ -1,10 +1,11 @@
-"""Substring dedup by words: recurring phrases found by automata, windows of words removed after their first place.
+"""Substring dedup by words: recurring phrases located by a hash filter, windows of words removed after their first place.
 
 Each window of 20 words chooses an anchor, a phrase of six words in it, by a rule that looks
-at the words alone. Phrases that recur anywhere in the corpus are confirmed by counts, those
-of a shard of documents are compiled into an Aho-Corasick automaton, and every document
-streams through its shard's automaton, which locates all occurrences. Only the windows that
-chose them can recur; those are named by 128 bits and compared over the whole corpus.
+at the words alone. Phrases that recur anywhere in the corpus are confirmed by counts and
+kept as bits; the anchors that pass are the places. Those of a shard of documents are also
+compiled into an Aho-Corasick automaton that the shard streams through, which finds the same
+places again. Only the windows that chose them can recur; those are named by 128 bits and
+compared over the whole corpus.
 """
 
 from __future__ import annotations
