@@ -35,7 +35,7 @@ HEADLINE = (
 def batch(spark, sf_dir):
     """Earliest arrivals at all stops for BATCH requests, two boardings, in one plan."""
     seeds = network.requests(spark, sf_dir).where(F.col("request") < BATCH).select("request", F.col("origin").alias("stop"), F.col("start").alias("arr"))
-    return search.earliest_arrival(seeds, network.active_stop_times(spark, sf_dir), network.transfers(spark, sf_dir), rounds=2, unrolled=True)
+    return search.earliest_arrival(seeds, network.active_stop_times(spark, sf_dir), network.transfers(spark, sf_dir), rounds=2)
 
 
 def main() -> None:

@@ -22,7 +22,7 @@ def network(spark, seed=0):
     return rows, walks, spark.createDataFrame(rows, ST), spark.createDataFrame(walks, "f long, t long, w int")
 
 
-def brute_arrivals(rows, walks, origin, start, rounds, horizon):
+def brute_arrivals(rows, walks, origin, start, rounds):
     by_trip = {}
     for r in rows:
         by_trip.setdefault(r[0], []).append(r)
@@ -39,7 +39,7 @@ def brute_arrivals(rows, walks, origin, start, rounds, horizon):
         got = {}
         for stops in by_trip.values():
             for r in stops:
-                if r[4] in best and best[r[4]] <= r[6] < best[r[4]] + horizon:
+                if r[4] in best and best[r[4]] <= r[6]:
                     for x in stops:
                         if x[3] > r[3]:
                             got[x[4]] = min(got.get(x[4], 10**9), x[5])
@@ -51,10 +51,10 @@ def brute_arrivals(rows, walks, origin, start, rounds, horizon):
 def test_search_equals_brute_force(spark):
     rows, walks, times, transfers = network(spark)
     seed = spark.createDataFrame([(0, 0, 28000), (1, 3, 29000)], "request long, stop long, arr int")
-    for unrolled in (True, False):
-        got = search.earliest_arrival(seed, times, transfers, 2, 3600, unrolled).collect()
+    for rounds in (None, 2):
+        got = search.earliest_arrival(seed, times, transfers, rounds).collect()
         for request, origin, start in ((0, 0, 28000), (1, 3, 29000)):
-            assert {r.stop: r.arr for r in got if r.request == request} == brute_arrivals(rows, walks, origin, start, 2, 3600)
+            assert {r.stop: r.arr for r in got if r.request == request} == brute_arrivals(rows, walks, origin, start, rounds or 10)
     paths = search.journeys(seed, times, transfers, 2).collect()
     assert {(r.request, r.stop): r.arr for r in paths} == {(r.request, r.stop): r.arr for r in got}
     for r in paths:  # each path leads from the origin to the stop and is in time
@@ -67,6 +67,26 @@ def test_search_equals_brute_force(spark):
         assert at == r.stop
 
 
+def test_who_waits_five_hours_is_boarded(spark):
+    """The only departure is five hours off; another trip leaves sooner and comes later, so nobody takes it."""
+    rows = [(1, 0, 1, 0, 0, 46000, 46000), (1, 0, 1, 1, 1, 47000, 47020), (2, 0, 1, 0, 0, 30000, 30000), (2, 0, 1, 1, 1, 48000, 48000), (3, 0, 1, 0, 1, 47020, 47020), (3, 0, 1, 1, 2, 90000, 90000)]
+    times, none = spark.createDataFrame(rows, ST), spark.createDataFrame([], "f long, t long, w int")
+    seed = spark.createDataFrame([(0, 0, 28000)], "request long, stop long, arr int")
+    assert {r.stop: r.arr for r in search.earliest_arrival(seed, times, none, 2).collect()} == {0: 28000, 1: 47000, 2: 90000}
+    assert {r.stop: r.path for r in search.journeys(seed, times, none, 2).collect()}[2] == "R 1 0 46000 1 47000|R 3 1 47020 2 90000"
+    target = spark.createDataFrame([(0, 2, 95000)], "request long, stop long, dep int")
+    assert {r.stop: r.dep for r in search.latest_departure_backward(target, times, none, 2).collect()} == {2: 95000, 1: 47020, 0: 46000}
+
+
+def test_trips_of_other_days_are_not_boarded(spark):
+    from wayfold.plans import network as net
+
+    svc = {r.svc for r in net.active_stop_times(spark, "/root/testdata/sf0.001").select("svc").distinct().collect()}
+    assert svc == {1, 2, 4}  # a Wednesday: every day, weekdays, and Monday, Wednesday and Friday
+    svc = {r.svc for r in net.active_stop_times(spark, "/root/testdata/sf0.001", net.QUERY_DAY + 1).select("svc").distinct().collect()}
+    assert svc == {2, 3}  # service 1 is removed, 3 added
+
+
 def test_an_empty_overlay_is_the_schedule(spark):
     _, _, times, _ = network(spark)
     none = spark.createDataFrame([], "trip long, pos int, ts long, event_id long, delay_s int, kind string")
@@ -77,8 +97,8 @@ def test_adding_a_trip_never_makes_arrivals_later(spark):
     _, _, times, transfers = network(spark)
     seed = spark.createDataFrame([(0, 0, 28000)], "request long, stop long, arr int")
     more = times.unionByName(spark.createDataFrame([(99, 1, 1, 0, 0, 28100, 28120), (99, 1, 1, 1, 7, 28200, 28220)], ST))
-    before = {r.stop: r.arr for r in search.earliest_arrival(seed, times, transfers, 2, unrolled=True).collect()}
-    after = {r.stop: r.arr for r in search.earliest_arrival(seed, more, transfers, 2, unrolled=True).collect()}
+    before = {r.stop: r.arr for r in search.earliest_arrival(seed, times, transfers, 2).collect()}
+    after = {r.stop: r.arr for r in search.earliest_arrival(seed, more, transfers, 2).collect()}
     assert all(after[s] <= a for s, a in before.items()) and after[7] <= 28200
 
 

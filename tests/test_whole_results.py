@@ -1,49 +1,15 @@
-"""Queries over all rows, against SQL without the id subsets that the texts in plans.ORACLES still have."""
+"""Queries over all rows where small results could hide a subset, against brute force."""
 
 import os
 
 import pytest
-from oracle import DATA, compare, connection
+from oracle import DATA
 
 from wayfold import plans
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
-@pytest.fixture(scope="module")
-def con():
-    return connection()
-
-
-def _whole(name: str, subset: str, instead: str = "") -> str:
-    text = plans.ORACLES[name].replace(subset, instead)
-    assert subset.strip() not in text
-    return text
-
-
-@pytest.mark.parametrize(
-    ("name", "subset"),
-    [
-        ("arrival_distribution", " and f.trip % 10 = 0"),
-        ("live_overlay", " t.trip % 7 = 0 and"),
-        ("alerts_for_leg", " where a.trip % 20 = 0"),
-        ("live_refresh", " where a.trip % 20 = 0"),
-    ],
-)
-def test_all_trips(spark, con, name, subset):
-    compare(spark, con, plans.QUERIES[name], _whole(name, subset))
-
-
-def test_all_legs_and_requests(spark, con):
-    compare(spark, con, plans.QUERIES["station_backups"], _whole("station_backups", "trip % 50 = 0 and "))
-    compare(spark, con, plans.QUERIES["onboard_arrival"], _whole("onboard_arrival", " where request % 10 = 0"))
-
-
-def test_odd_lines_run_unshifted(spark, con):
-    text = _whole("overnight_union", " where line % 2 = 0").replace("arr + 43200 as arr, dep + 43200 as dep", "arr + case when line % 2 = 0 then 43200 else 0 end as arr, dep + case when line % 2 = 0 then 43200 else 0 end as dep")
-    compare(spark, con, plans.QUERIES["overnight_union"], text)
-
-
 def test_an_odd_line_is_ridden(spark, tmp_path):
     spark.createDataFrame([(k, f"s{k}", 0) for k in range(15)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     spark.createDataFrame([(1, 1, "1-URGENT")], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
@@ -76,7 +42,7 @@ def _fixpoint(stop_times, walks, seeds):
                 for stop, arr, dep in stops:
                     if on:
                         got[stop] = min(got.get(stop, 10**9), arr)
-                    on = on or stop in best and best[stop] <= dep < best[stop] + 3600
+                    on = on or stop in best and best[stop] <= dep
             better = {s: a for s, a in walked(got).items() if a < best.get(s, 10**9)}
             if not better:
                 break
@@ -109,15 +75,6 @@ def test_fixpoint_takes_as_many_boardings_as_it_needs(spark):
     assert {(r.request, r.stop): r.arr for r in search.earliest_arrival(seeds, times, none, rounds=None).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["platform_match", "platform_report"])
-def test_all_platforms(spark, con, name):
-    compare(spark, con, plans.QUERIES[name], _whole(name, " where c_custkey % 5 = 0"))
-
-
-def test_all_vectors_are_options(spark, con):
-    compare(spark, con, plans.QUERIES["option_highlight"], _whole("option_highlight", " where vec_id % 7 = 0"))
-
-
 def test_highlights_by_aggregates_equal_those_of_arrays(spark):
     from pyspark.sql import functions as F
 

@@ -11,17 +11,19 @@ def window_departures(start: int, end: int, step: int = 600) -> list[int]:
     return sorted({*range(start, end + 1, step), end})
 
 
-def field(arrivals: DataFrame, stops: DataFrame, most: int, step_seconds: int, reach: int) -> DataFrame:
+def field(arrivals: DataFrame, stops: DataFrame, most: int, step_seconds: int) -> DataFrame:
     """request, gr, gc, seconds: the least travel time to lattice cells within the budget.
 
-    arrivals has request, stop, seconds. Each stop reaches a bounded diamond of cells, so the
-    field is an explode and a pre-aggregated minimum.
+    arrivals has request, stop, seconds. What is left of the budget says how many steps a stop
+    reaches. Steps along rows and along columns add up, so rows are spread first and columns
+    after, each with a pre-aggregated minimum.
     """
-    cells = [(r, c, abs(r) + abs(c)) for r in range(-reach, reach + 1) for c in range(-reach, reach + 1) if abs(r) + abs(c) <= reach]
-    offsets = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(n * step_seconds).alias("w")) for r, c, n in cells])
-    near = arrivals.where(F.col("seconds") <= most).join(stops.select("stop", "gr", "gc"), "stop").select("request", "gr", "gc", "seconds", F.explode(offsets).alias("o"))
-    reached = near.select("request", (F.col("gr") + F.col("o.r")).alias("gr"), (F.col("gc") + F.col("o.c")).alias("gc"), (F.col("seconds") + F.col("o.w")).alias("seconds"))
-    return reached.where(F.col("seconds") <= most).groupBy("request", "gr", "gc").agg(F.min("seconds").alias("seconds"))
+    field = arrivals.where(F.col("seconds") <= most).join(stops.select("stop", "gr", "gc"), "stop").select("request", "gr", "gc", "seconds")
+    for axis in ("gr", "gc"):
+        steps = ((F.lit(most) - F.col("seconds")) / step_seconds).cast("int")
+        spread = field.withColumn("_by", F.explode(F.sequence(-steps, steps)))
+        field = spread.select("request", *[(F.col(c) + F.col("_by")).alias(c) if c == axis else F.col(c) for c in ("gr", "gc")], (F.col("seconds") + F.abs("_by") * step_seconds).cast("int").alias("seconds")).groupBy("request", "gr", "gc").agg(F.min("seconds").alias("seconds"))
+    return field
 
 
 def best(fields: DataFrame) -> DataFrame:

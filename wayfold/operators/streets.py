@@ -9,23 +9,22 @@ from ..functions.geo import haversine
 from ..lineage import cut
 
 
-def shortest(seeds: DataFrame, edges: DataFrame, most: int, rounds: int = 1000) -> DataFrame:
-    """request, node, seconds: least seconds within the budget from any seed (request, node, seconds).
+def shortest(seeds: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """request, node, seconds: least seconds within the budget from any seed (request, node, seconds), relaxed until nothing improves.
 
     edges has a, b, w, and sink where a node can be reached but not left. Each round joins
     only what the last one improved; a round's labels are pre-aggregated by minimum.
     """
     best = cut(seeds.groupBy("request", "node").agg(F.min("seconds").alias("seconds")).where(F.col("seconds") <= most))
     fresh = best
-    for _ in range(rounds):
+    while True:
         reached = fresh.join(edges, fresh["node"] == edges["a"]).where("not sink").select("request", F.col("b").alias("node"), (F.col("seconds") + F.col("w")).alias("seconds")).where(F.col("seconds") <= most)
         reached = reached.groupBy("request", "node").agg(F.min("seconds").alias("seconds"))
         known = best.withColumnRenamed("seconds", "known")
         fresh = cut(reached.join(known, ["request", "node"], "left").where("known is null or seconds < known").select("request", "node", "seconds"))
         if fresh.isEmpty():
-            break
+            return best
         best = cut(best.unionByName(fresh).groupBy("request", "node").agg(F.min("seconds").alias("seconds")))
-    return best
 
 
 def nearest(points: DataFrame, nodes: DataFrame, cell: float, most_m: float) -> DataFrame:

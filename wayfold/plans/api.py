@@ -43,7 +43,7 @@ def plan(spark: SparkSession, sf_dir: str, requests: DataFrame, live: DataFrame
 def plan_onboard(spark: SparkSession, sf_dir: str, riders: DataFrame, rounds: int = 2) -> DataFrame:
     """request, stop, arr for riders (request, trip, pos)."""
     seeds = search.onboard_seeds(net.stop_times(spark, sf_dir), riders)
-    return search.earliest_arrival(seeds, net.active_stop_times(spark, sf_dir), net.transfers(spark, sf_dir), rounds, unrolled=True)
+    return search.earliest_arrival(seeds, net.active_stop_times(spark, sf_dir), net.transfers(spark, sf_dir), rounds)
 
 
 def explain_plan(spark: SparkSession, sf_dir: str, requests: DataFrame, rounds: int = 2) -> DataFrame:
@@ -70,13 +70,13 @@ def live_refresh(spark: SparkSession, sf_dir: str, legs: DataFrame, now: int) ->
     return realtime.live_refresh(legs, net.stop_times(spark, sf_dir), realtime.latest(updates, ["trip", "pos"]), realtime.sticky(updates, now))
 
 
-def travel_time_map(spark: SparkSession, sf_dir: str, origin: int, start: int, most: int, window_end: int | None = None, aggregation: str = "best", step_seconds: int = 180, reach: int = 4) -> DataFrame:
+def travel_time_map(spark: SparkSession, sf_dir: str, origin: int, start: int, most: int, window_end: int | None = None, aggregation: str = "best", step_seconds: int = 180) -> DataFrame:
     """gr, gc, seconds from a stop; over a window the best or the average of sampled departures."""
     reject_over("most", most, MOST_ISOCHRONE)
     samples = isochrone.window_departures(start, window_end) if window_end else [start]
     seeds = spark.createDataFrame([(s, origin, s) for s in samples], "request long, stop long, arr int")
-    arrivals = search.earliest_arrival(seeds, net.active_stop_times(spark, sf_dir), net.transfers(spark, sf_dir), rounds=2, unrolled=True)
-    field = isochrone.field(arrivals.select("request", "stop", (F.col("arr") - F.col("request")).cast("int").alias("seconds")), net.stops(spark, sf_dir), most, step_seconds, reach)
+    arrivals = search.earliest_arrival(seeds, net.active_stop_times(spark, sf_dir), net.transfers(spark, sf_dir), rounds=2)
+    field = isochrone.field(arrivals.select("request", "stop", (F.col("arr") - F.col("request")).cast("int").alias("seconds")), net.stops(spark, sf_dir), most, step_seconds)
     return isochrone.best(field) if aggregation == "best" else isochrone.average(field, len(samples), most)
 
 

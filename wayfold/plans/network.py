@@ -9,15 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.schedule import stop_grid_transfers
+from ..operators.schedule import service_active, stop_grid_transfers
 
 POSITIONS = 6
 DWELL = 20
 LINES = 40
 #: Seconds of walking for a step of the grid, and steps that a transfer may take.
 STEP_SECONDS, MOST_STEPS = 360, 2
-#: Services that run on the query day.
-QUERY_DAY, INACTIVE = 8768, 5
+#: The service day of queries that name none, counted from 2000-01-01.
+QUERY_DAY = 8768
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,14 @@ def stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("trip", "line", "svc", "pos", ((17 * F.col("line") + F.col("pos") * step) % n).cast("long").alias("stop"), arr.alias("arr"), (arr + DWELL).alias("dep"))
 
 
-def active_stop_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stop_times(spark, sf_dir).where(F.col("svc") != INACTIVE)
+def active_stop_times(spark: SparkSession, sf_dir: str, day: int = QUERY_DAY) -> DataFrame:
+    """Stop times of the trips whose service runs on the day."""
+    running = services(spark).where(service_active(F.lit(day))).select("svc")
+    return stop_times(spark, sf_dir).join(F.broadcast(running), "svc", "left_semi")  # a row per service
+
+
+def trip_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trips(spark, sf_dir).select("trip", route_type().alias("mode"))
 
 
 def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,21 +126,23 @@ def boardings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ACTIVE_SQL = """not list_contains(removed, {day}) and (list_contains(added, {day}) or ({day} between "start" and "end" and (days & cast(pow(2, ({day} + 5) % 7) as int)) <> 0))"""
+
 #: The same tables in DuckDB's SQL.
 SQL = f"""
 with recursive n as (select count(*) as n from supplier), nt as (select count(*) as nt from orders),
-stops as (select s_suppkey as stop, cast(s_suppkey % 10 as int) as gr, cast(s_suppkey // 10 as int) as gc, 50 + (s_suppkey % 10) * cast(0.004 as double) as lat, 4 + (s_suppkey // 10) * cast(0.006 as double) as lon, s_name as name, cast(s_nationkey as bigint) as parent from supplier),
-trips as (select o_orderkey as trip, cast(o_custkey % {LINES} as int) as line, cast(substr(o_orderpriority, 1, 1) as int) as svc, cast(18000 + o_orderkey * 97 % 57600 as int) as dep0, cast(240 + 60 * (o_orderkey % 3) as int) as run from orders),
-stop_times as (select trip, line, svc, pos, cast((17 * line + pos * list_value(1, 3, 7, 9)[line % 4 + 1]) % n as bigint) as stop, dep0 + pos * run as arr, dep0 + pos * run + {DWELL} as dep
+stops as materialized (select s_suppkey as stop, cast(s_suppkey % 10 as int) as gr, cast(s_suppkey // 10 as int) as gc, 50 + (s_suppkey % 10) * cast(0.004 as double) as lat, 4 + (s_suppkey // 10) * cast(0.006 as double) as lon, s_name as name, cast(s_nationkey as bigint) as parent from supplier),
+trips as materialized (select o_orderkey as trip, cast(o_custkey % {LINES} as int) as line, cast(substr(o_orderpriority, 1, 1) as int) as svc, cast(18000 + o_orderkey * 97 % 57600 as int) as dep0, cast(240 + 60 * (o_orderkey % 3) as int) as run from orders),
+stop_times as materialized (select trip, line, svc, pos, cast((17 * line + pos * list_value(1, 3, 7, 9)[line % 4 + 1]) % n as bigint) as stop, dep0 + pos * run as arr, dep0 + pos * run + {DWELL} as dep
   from trips, n, (select cast(unnest(range({POSITIONS})) as int) as pos)),
-active as (select * from stop_times where svc <> {INACTIVE}),
-transfers as (select a.stop as f, b.stop as t, (abs(a.gr - b.gr) + abs(a.gc - b.gc)) * {STEP_SECONDS} as w from stops a join stops b on a.stop <> b.stop and abs(a.gr - b.gr) + abs(a.gc - b.gc) <= {MOST_STEPS}),
+transfers as materialized (select a.stop as f, b.stop as t, (abs(a.gr - b.gr) + abs(a.gc - b.gc)) * {STEP_SECONDS} as w from stops a join stops b on a.stop <> b.stop and abs(a.gr - b.gr) + abs(a.gc - b.gc) <= {MOST_STEPS}),
 services as (select cast(i as int) as svc, list_value(127, 31, 96, 21, 0)[i] as days, 8760 as "start", 8780 as "end", [i + 8766, 8790] as added, [i + 8768] as removed from (select unnest(range(1, 6)) as i)),
+active as materialized (select * from stop_times where svc in (select svc from services where {ACTIVE_SQL.format(day=QUERY_DAY)})),
 delay_samples as (select case event_type when 'click' then 'bus' when 'view' then 'tram' when 'purchase' then 'subway' when 'signup' then 'rail' end as mode, cast(floor(value / 30) * 60 - 60 as int) as delay_s from events where event_type <> 'error'),
-cdf as (select mode, delay_s, cast(sum(c) over (partition by mode order by delay_s) as double) / sum(c) over (partition by mode) as cum from (select mode, delay_s, count(*) as c from delay_samples group by mode, delay_s)),
-updates as (select cast(floor(epoch(ts)) as bigint) as ts, event_id, (event_id * 7 + user_id) % nt as trip, cast(user_id % {POSITIONS} as int) as pos, cast(floor(value) * 10 - 200 as int) as delay_s, case event_type when 'error' then 'cancelled' when 'signup' then 'skipped' else 'delay' end as kind from events, nt),
-requests as (select c_custkey as request, c_custkey % n as origin, (c_custkey * 7 + 3) % n as destination, cast(21600 + cast(floor(abs(c_acctbal)) as bigint) % 43200 as int) as "start" from customer, n),
-boardings as (select user_id, row_number() over (partition by user_id order by ts, event_id) as seq, event_type as operator, event_id % n as board_stop, (event_id * 3 + 1) % n as alight_stop, cast(cast(floor(epoch(ts)) as bigint) % 86400 as int) as board_time, cast(floor(value) as int) as km from events, n)
+cdf as materialized (select mode, delay_s, cast(sum(c) over (partition by mode order by delay_s) as double) / sum(c) over (partition by mode) as cum from (select mode, delay_s, count(*) as c from delay_samples group by mode, delay_s)),
+updates as materialized (select cast(floor(epoch(ts)) as bigint) as ts, event_id, (event_id * 7 + user_id) % nt as trip, cast(user_id % {POSITIONS} as int) as pos, cast(floor(value) * 10 - 200 as int) as delay_s, case event_type when 'error' then 'cancelled' when 'signup' then 'skipped' else 'delay' end as kind from events, nt),
+requests as materialized (select c_custkey as request, c_custkey % n as origin, (c_custkey * 7 + 3) % n as destination, cast(21600 + cast(floor(abs(c_acctbal)) as bigint) % 43200 as int) as "start" from customer, n),
+boardings as materialized (select user_id, row_number() over (partition by user_id order by ts, event_id) as seq, event_type as operator, event_id % n as board_stop, (event_id * 3 + 1) % n as alight_stop, cast(cast(floor(epoch(ts)) as bigint) % 86400 as int) as board_time, cast(floor(value) as int) as km from events, n)
 """
 
 

@@ -10,7 +10,7 @@ from . import network as net
 from .network import sql
 from .schedule_queries import _VEC
 
-START, MOST, STEP, REACH, SAMPLES = 28800, 7200, 180, 4, (28800, 30600)
+START, MOST, STEP, SAMPLES = 28800, 7200, 180, (28800, 30600)
 NODES = 24  # the street lattice has so many nodes a side
 
 
@@ -71,8 +71,8 @@ def street_times(spark, d):
 
 def _field(spark, d):
     seeds = spark.createDataFrame([(s, 0, s) for s in SAMPLES], "request long, stop long, arr int")
-    arrivals = search.earliest_arrival(seeds, net.active_stop_times(spark, d), net.transfers(spark, d), rounds=1, unrolled=True)
-    return isochrone.field(arrivals.select("request", "stop", (F.col("arr") - F.col("request")).cast("int").alias("seconds")), net.stops(spark, d), MOST, STEP, REACH)
+    arrivals = search.earliest_arrival(seeds, net.active_stop_times(spark, d), net.transfers(spark, d), rounds=1)
+    return isochrone.field(arrivals.select("request", "stop", (F.col("arr") - F.col("request")).cast("int").alias("seconds")), net.stops(spark, d), MOST, STEP)
 
 
 def isochrone_best(spark, d):
@@ -312,7 +312,7 @@ def _one_round(seeds: str) -> str:
     return _search(seeds, 1)
 
 
-_FIELD = _one_round(" union all ".join(f"select {s} as request, 0 as stop, {s} as arr" for s in SAMPLES)) + f""", dia as (select r, c, (abs(r) + abs(c)) * {STEP} as w from (select unnest(range({-REACH}, {REACH + 1})) as r), (select unnest(range({-REACH}, {REACH + 1})) as c) where abs(r) + abs(c) <= {REACH}),
+_FIELD = _one_round(" union all ".join(f"select {s} as request, 0 as stop, {s} as arr" for s in SAMPLES)) + f""", dia as (select r, c, (abs(r) + abs(c)) * {STEP} as w from (select unnest(range({-(MOST // STEP)}, {MOST // STEP + 1})) as r), (select unnest(range({-(MOST // STEP)}, {MOST // STEP + 1})) as c) where abs(r) + abs(c) <= {MOST // STEP}),
   field as (select request, gr, gc, cast(min(seconds) as int) as seconds from (select r1.request, s.gr + d.r as gr, s.gc + d.c as gc, r1.arr - r1.request + d.w as seconds from r1 join stops s using (stop), dia d where r1.arr - r1.request <= {MOST}) where seconds <= {MOST} group by request, gr, gc),
   best as (select gr, gc, min(seconds) as seconds from field group by gr, gc)"""
 
@@ -402,7 +402,7 @@ ORACLES = {
       w as (select path, 0 as n, 0.0::double as dn, 0.0::double as up, 0.0::double as cost from (select distinct path from s) union all select path, n, case when m > 0 then greatest(hd - cd, 0.0) else dn end, case when m > 0 then greatest(hu - cu, 0.0) else up end, cost + case when m > 0 then cd * 100 else 0.0 end from
         (select *, case when hd > 5 then greatest(hd - 10, 0.0) else 0.0 end as cd, case when hu > 5 then greatest(hu - 10, 0.0) else 0.0 end as cu from (select w.path, s.n, w.dn, w.up, w.cost, s.m, w.dn - s.d - s.m * 0.5::double / 100 as hd, w.up + s.d - s.m * 1.5::double / 100 as hu from w join s on s.path = w.path and s.n = w.n + 1)))
       select path, round(arg_max(cost, n), 4) as cost from w group by path"""),
-    "option_highlight": sql(_VEC + """, o as (select grp, vec_id, a0, a1, a2, row_number() over (partition by grp order by vec_id) - 1 as i from v where vec_id % 7 = 0),
+    "option_highlight": sql(_VEC + """, o as (select grp, vec_id, a0, a1, a2, row_number() over (partition by grp order by vec_id) - 1 as i from v),
       scored as (select *, case when a0 <= 60 then 1 else 0 end as fits, coalesce((a0 - min(a0) over g) / nullif(max(a0) over g - min(a0) over g, 0)::double, 0) + 0.5::double * coalesce((a1 - min(a1) over g) / nullif(max(a1) over g - min(a1) over g, 0)::double, 0) + 0.7::double * coalesce((a2 - min(a2) over g) / nullif(max(a2) over g - min(a2) over g, 0)::double, 0) as s,
         coalesce((a0 - min(a0) over f) / nullif(max(a0) over f - min(a0) over f, 0)::double, 0) + 0.5::double * coalesce((a1 - min(a1) over f) / nullif(max(a1) over f - min(a1) over f, 0)::double, 0) + 0.7::double * coalesce((a2 - min(a2) over f) / nullif(max(a2) over f - min(a2) over f, 0)::double, 0) as t from o window g as (partition by grp), f as (partition by grp, a0 <= 60))
       select grp, cast(arg_min(i, (s, i)) as int) as balanced, cast(case when max(fits) = 1 then arg_min(i, (t, i)) filter (fits = 1) else arg_min(i, (a0, i)) end as int) as within from scored group by grp"""),

@@ -138,14 +138,14 @@ def plan_timeline(spark, d):
     return rt.timeline(_plan_legs(spark, d))
 
 
-_LIVE = ", live as (select trip, pos, ts, event_id, delay_s, kind from (select *, row_number() over (partition by trip, pos order by ts desc, event_id desc) as k from updates) where k = 1)"
+_LIVE = ", live as materialized (select trip, pos, ts, event_id, delay_s, kind from (select *, row_number() over (partition by trip, pos order by ts desc, event_id desc) as k from updates) where k = 1)"
 _FILL = """, sk as (select t.trip, t.pos, case when l.kind = 'delay' then l.delay_s end as given, coalesce(l.kind = 'skipped', false) as skipped from stop_times t left join live l using (trip, pos) where t.trip in (select trip from live)),
   pt as (select *, sum(cast(skipped as int)) over (partition by trip order by pos) as part from sk),
-  fill as (select trip, pos, case when not skipped then last_value(given ignore nulls) over (partition by trip, part order by pos rows unbounded preceding) end as delay_s, skipped from pt)"""
+  fill as materialized (select trip, pos, case when not skipped then last_value(given ignore nulls) over (partition by trip, part order by pos rows unbounded preceding) end as delay_s, skipped from pt)"""
 _PROB = "coalesce((select max(c.cum) from cdf c where c.mode = {m} and c.delay_s <= {x}), 0)"
 _MASS = ", mass as (select mode, delay_s, cum, cum - coalesce(lag(cum) over (partition by mode order by delay_s), 0) as p from cdf), modes as (select distinct mode from cdf), margins as (select cast(unnest(range(-120, 601, 45)) as int) as margin)"
-_LEGS = f", legs as (select a.trip as leg, a.trip, a.line, a.stop as board, b.stop as alight from stop_times a join stop_times b on a.trip = b.trip and a.pos = 1 and b.pos = 4 where a.trip % 20 = 0)"
-_STICKY = ", seen as (select trip, pos, delay_s, ts from (select *, row_number() over (partition by trip, pos order by ts desc, event_id desc) as k from updates where kind = 'delay') where k = 1 and {now} - ts <= {ttl})"
+_LEGS = f", legs as materialized (select a.trip as leg, a.trip, a.line, a.stop as board, b.stop as alight from stop_times a join stop_times b on a.trip = b.trip and a.pos = 1 and b.pos = 4)"
+_STICKY = ", seen as materialized (select trip, pos, delay_s, ts from (select *, row_number() over (partition by trip, pos order by ts desc, event_id desc) as k from updates where kind = 'delay') where k = 1 and {now} - ts <= {ttl})"
 _PLEGS = """, legs as (select user_id * 100 + (seq - 1) // 6 as plan, cast((seq - 1) % 6 as int) as seq, operator in ('click', 'view') as walk, operator as mode, board_time as "start", board_time + km * 10 as "end" from boardings)"""
 
 QUERIES = {f.__name__: f for f in (
@@ -160,12 +160,12 @@ ORACLES = {
       select mode, margin, round(p, 9) as p, round(t, 9) as at_least, case when round(p, 6) >= 0.99 then 4 else cast(round(p, 6) >= 0.5 as int) + cast(round(p, 6) >= 0.8 as int) + cast(round(p, 6) >= 0.95 as int) end as bucket, case when round(p, 6) >= 0.8 then 'high' when round(p, 6) >= 0.5 then 'mid' else 'low' end as risk from q"""),
     "two_vehicle_reliability": sql(_MASS + " select mode, boarded, margin, round(sum(w * p), 6) as p from (select m.mode, b.mode as boarded, g.margin, b.p as w, " + _PROB.format(m="m.mode", x="g.margin + b.delay_s") + " as p from modes m, margins g, mass b) group by mode, boarded, margin"),
     "arrival_distribution": sql(_MASS + """, ends as (select trip, max(arr) as e from active group by trip), fol as (select a.trip, a.line, a.pos, lead(e.e) over (partition by a.line, a.pos order by a.dep, a.trip) as miss from active a join ends e using (trip)),
-      ride as (select f.trip, list_value('bus', 'tram', 'subway', 'rail')[f.line % 4 + 1] as mode, h.arr as hit, f.miss from fol f join active h on h.trip = f.trip and h.pos = 5 where f.pos = 4 and f.trip % 10 = 0),
+      ride as (select f.trip, list_value('bus', 'tram', 'subway', 'rail')[f.line % 4 + 1] as mode, h.arr as hit, f.miss from fol f join active h on h.trip = f.trip and h.pos = 5 where f.pos = 4),
       bag as (select trip, mode, hit as t, 0.75::double as p from ride union all select trip, mode, miss, 0.25::double from ride where miss is not null),
       whole as (select b.trip, b.t + m.delay_s as t, sum(b.p * m.p) as p from bag b join mass m using (mode) group by b.trip, b.t + m.delay_s)
       select trip, round(sum(p * t) / sum(p), 3) as expected, min(t) as earliest, max(t) as latest, count(*) as n from whole group by trip"""),
     "delay_forward_fill": sql(_LIVE + _FILL + " select trip, pos, delay_s, skipped from fill"),
-    "live_overlay": sql(_LIVE + _FILL + " select t.trip, t.pos, t.stop, greatest(0, t.arr + coalesce(f.delay_s, 0)) as arr, greatest(0, t.dep + coalesce(f.delay_s, 0)) as dep from stop_times t left join fill f using (trip, pos) where t.trip % 7 = 0 and not coalesce(f.skipped, false) and t.trip not in (select trip from live where kind = 'cancelled')"),
+    "live_overlay": sql(_LIVE + _FILL + " select t.trip, t.pos, t.stop, greatest(0, t.arr + coalesce(f.delay_s, 0)) as arr, greatest(0, t.dep + coalesce(f.delay_s, 0)) as dep from stop_times t left join fill f using (trip, pos) anti join (select trip from live where kind = 'cancelled') c on c.trip = t.trip where not coalesce(f.skipped, false)"),
     "vehicle_latest": sql(f" select trip, pos, ts, {NOW} - ts > 120 as stale from (select *, row_number() over (partition by trip order by ts desc, event_id desc) as k from updates) where k = 1"),
     "sticky_delay_state": sql(_STICKY.format(now=NOW, ttl=864000) + " select trip, pos, delay_s, ts from seen"),
     "asof_schedule_match": sql(""", p as (select event_id as passage, event_id % n as stop, cast(trip % 40 as int) as line, cast(ts % 86400 as int) as t from updates, n where kind = 'delay')
@@ -173,11 +173,12 @@ ORACLES = {
     "stop_resolution": sql(""", u as (select event_id, trip, event_id % n as stop_id from updates, n)
       select u.event_id, u.trip, u.stop_id, coalesce(t.pos, (select min(x.pos) from stop_times x join stops s on s.stop = x.stop where x.trip = u.trip and s.parent = (select parent from stops where stop = u.stop_id))) as pos from u left join stop_times t on t.trip = u.trip and t.stop = u.stop_id"""),
     "platform_change": sql(_LIVE + ", sw as (select trip, pos, event_id * 3 % n as actual from live, n where kind = 'delay' and delay_s > 300) select t.trip, t.pos, 'P' || t.stop % 4 as scheduled, 'P' || s.actual % 4 as platform from stop_times t join sw s using (trip, pos) where t.stop % 4 <> s.actual % 4"),
-    "alerts_for_leg": sql(_LEGS + f""", al as (select event_id as alert, list_value('trip', 'route', 'stop')[event_id % 3 + 1] as kind, case event_id % 3 when 1 then trip % 40 when 2 then trip % 100 else trip end as entity, case when event_id % 5 <> 0 then ts end as f, case when event_id % 7 <> 0 then ts + 86400 end as t from updates where kind = 'cancelled')
-      select distinct l.leg, a.alert from legs l join al a on (a.kind = 'trip' and a.entity = l.trip) or (a.kind = 'route' and a.entity = l.line) or (a.kind = 'stop' and a.entity in (l.board, l.alight)) where (a.f is null or a.f <= {NOW}) and (a.t is null or {NOW} < a.t)"""),
-    "live_refresh": sql(_LIVE + _FILL + _STICKY.format(now=NOW, ttl=20 * 86400) + _LEGS + """ select l.leg, case when l.trip in (select trip from live where kind = 'cancelled') then 'cancelled' when fb.delay_s is not null then 'live' when sb.delay_s is not null then 'sticky' else 'no_data' end as status,
+    "alerts_for_leg": sql(_LEGS + f""", al as (select event_id as alert, list_value('trip', 'route', 'stop')[event_id % 3 + 1] as kind, case event_id % 3 when 1 then trip % 40 when 2 then trip % 100 else trip end as entity, case when event_id % 5 <> 0 then ts end as f, case when event_id % 7 <> 0 then ts + 86400 end as t from updates where kind = 'cancelled'),
+      named as (select leg, 'trip' as kind, trip as entity from legs union all select leg, 'route', line from legs union all select leg, 'stop', board from legs union all select leg, 'stop', alight from legs)
+      select distinct l.leg, a.alert from named l join al a using (kind, entity) where (a.f is null or a.f <= {NOW}) and (a.t is null or {NOW} < a.t)"""),
+    "live_refresh": sql(_LIVE + _FILL + _STICKY.format(now=NOW, ttl=20 * 86400) + _LEGS + """ select l.leg, case when off.trip is not null then 'cancelled' when fb.delay_s is not null then 'live' when sb.delay_s is not null then 'sticky' else 'no_data' end as status,
       greatest(0, b.dep + coalesce(fb.delay_s, sb.delay_s, 0)) as dep, greatest(0, a.arr + coalesce(fa.delay_s, sa.delay_s, 0)) as arr from legs l join stop_times b on b.trip = l.trip and b.pos = 1 join stop_times a on a.trip = l.trip and a.pos = 4
-      left join fill fb on fb.trip = l.trip and fb.pos = 1 left join fill fa on fa.trip = l.trip and fa.pos = 4 left join seen sb on sb.trip = l.trip and sb.pos = 1 left join seen sa on sa.trip = l.trip and sa.pos = 4"""),
+      left join fill fb on fb.trip = l.trip and fb.pos = 1 left join fill fa on fa.trip = l.trip and fa.pos = 4 left join seen sb on sb.trip = l.trip and sb.pos = 1 left join seen sa on sa.trip = l.trip and sa.pos = 4 left join (select distinct trip from live where kind = 'cancelled') off on off.trip = l.trip"""),
     "realtime_gate": sql(f" select event_id, ts as generated_at from updates where {NOW - 40000} - ts <= 86400 and ts // 86400 - 10957 = 8792"),
     "transfer_margins": sql(_PLEGS + """, w as (select *, sum(case when walk then "end" - "start" else 0 end) over (partition by plan order by seq) as walked from legs)
       select plan, seq, lead(mode) over o as next_mode, lead("start") over o - "end" - (lead(walked) over o - walked) as margin from w where not walk window o as (partition by plan order by seq)"""),

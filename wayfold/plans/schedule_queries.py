@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import pareto, schedule, search
 from . import network as net
-from .network import INACTIVE, route_type, sql
+from .network import ACTIVE_SQL, QUERY_DAY, route_type, sql
 
 START = 28800
 
@@ -16,14 +16,14 @@ def _seed(spark):
 
 
 def earliest_arrival_2r(spark, d):
-    found = search.earliest_arrival(_seed(spark), net.active_stop_times(spark, d), net.transfers(spark, d), rounds=2, unrolled=True)
+    found = search.earliest_arrival(_seed(spark), net.active_stop_times(spark, d), net.transfers(spark, d), rounds=2)
     return found.select("stop", "arr")
 
 
 def earliest_arrival_batch(spark, d):
     """All requests at once, two boardings."""
     seeds = net.requests(spark, d).select("request", F.col("origin").alias("stop"), F.col("start").alias("arr"))
-    found = search.earliest_arrival(seeds, net.active_stop_times(spark, d), net.transfers(spark, d), rounds=2, unrolled=True)
+    found = search.earliest_arrival(seeds, net.active_stop_times(spark, d), net.transfers(spark, d), rounds=2)
     asked = net.requests(spark, d).select("request", F.col("destination").alias("stop"))
     return found.join(asked, ["request", "stop"]).select("request", "stop", "arr")
 
@@ -135,7 +135,7 @@ def range_profile(spark, d):
     times = net.active_stop_times(spark, d)
     departures = search.interesting_departures(times, 0, START, 7200)
     seeds = departures.select(F.col("dep").cast("long").alias("request"), F.lit(0).cast("long").alias("stop"), F.col("dep").alias("arr"))
-    found = search.earliest_arrival(seeds, times, net.transfers(spark, d), rounds=1, unrolled=True)
+    found = search.earliest_arrival(seeds, times, net.transfers(spark, d), rounds=1)
     return search.range_front(found.select(F.col("request").cast("int").alias("departure"), "stop", "arr"))
 
 
@@ -143,17 +143,18 @@ def overnight_union(spark, d):
     """A query at 03:00 also takes yesterday's services, a day later; trips of even lines are shifted by half a day so that some run past midnight."""
     shift = F.when(F.col("line") % 2 == 0, 43200).otherwise(0)
     late = net.stop_times(spark, d).withColumns({"arr": F.col("arr") + shift, "dep": F.col("dep") + shift})
-    today = late.where(F.col("svc") != INACTIVE)
-    yesterday = late.where("svc <> 4").withColumns({"trip": F.col("trip") + 10_000_000, "arr": F.col("arr") - 86400, "dep": F.col("dep") - 86400}).where("arr >= 0")
+    running = lambda day: late.join(F.broadcast(net.services(spark).where(schedule.service_active(F.lit(day))).select("svc")), "svc", "left_semi")  # noqa: E731  a row per service
+    today = running(net.QUERY_DAY)
+    yesterday = running(net.QUERY_DAY - 1).withColumns({"trip": F.col("trip") + 10_000_000, "arr": F.col("arr") - 86400, "dep": F.col("dep") - 86400}).where("arr >= 0")
     seeds = spark.createDataFrame([(0, 0, 10800)], "request long, stop long, arr int")
-    return search.earliest_arrival(seeds, today.unionByName(yesterday), net.transfers(spark, d), rounds=1, unrolled=True, horizon=7200).select("stop", "arr")
+    return search.earliest_arrival(seeds, today.unionByName(yesterday), net.transfers(spark, d), rounds=1).select("stop", "arr")
 
 
 def onboard_arrival(spark, d):
     riders = net.requests(spark, d).select("request", (F.col("request") * 13 % net.n_trips(spark, d)).alias("trip"), F.lit(1).alias("pos"))
     times = net.active_stop_times(spark, d)
     seeds = search.onboard_seeds(net.stop_times(spark, d), riders)
-    return search.earliest_arrival(seeds, times, net.transfers(spark, d), rounds=1, unrolled=True)
+    return search.earliest_arrival(seeds, times, net.transfers(spark, d), rounds=1)
 
 
 def latest_departure_backward(spark, d):
@@ -211,16 +212,18 @@ def eps_pareto(spark, d):
 
 
 _ROUND = """
-{n}_b as (select l.request, s.trip, min(s.pos) as pos from {p} l join {st} s on s.stop = l.stop and s.dep >= l.arr and s.dep < l.arr + {h} group by l.request, s.trip),
+{n}_b as (select l.request, s.trip, min(s.pos) as pos from {p} l join {st} s on s.stop = l.stop and s.dep >= l.arr group by l.request, s.trip),
 {n}_r as (select b.request, s.stop, min(s.arr) as arr from {n}_b b join {st} s on s.trip = b.trip and s.pos > b.pos group by b.request, s.stop),
 {n}_w as (select request, stop, min(arr) as arr from (select * from {n}_r union all select r.request, t.t, r.arr + t.w from {n}_r r join transfers t on t.f = r.stop) group by request, stop),
-{n} as (select request, stop, min(arr) as arr from (select * from {p} union all select * from {n}_w) group by request, stop)"""
+{n} as (select request, stop, min(arr) as arr from (select * from {k} union all select * from {n}_w) group by request, stop),
+{n}_f as (select w.* from {n}_w w left join {k} k using (request, stop) where k.arr is null or w.arr < k.arr)"""
 
 
-def _search(seed: str, rounds: int, times: str = "active", horizon: int = 3600) -> str:
+def _search(seed: str, rounds: int, times: str = "active") -> str:
+    """Tables r0, r1, ... of the best arrivals; r1_w, ... of what each round reaches from what the one before improved."""
     out = f", seed as ({seed}), r0 as (select request, stop, min(arr) as arr from (select * from seed union all select s.request, t.t, s.arr + t.w from seed s join transfers t on t.f = s.stop) group by request, stop)"
     for k in range(1, rounds + 1):
-        out += "," + _ROUND.format(n=f"r{k}", p=f"r{k - 1}", st=times, h=horizon)
+        out += "," + _ROUND.format(n=f"r{k}", p=f"r{k - 1}_f" if k > 1 else "r0", k=f"r{k - 1}", st=times)
     return out
 
 
@@ -268,7 +271,7 @@ ORACLES = {
       select stop, line, n, case when n >= 3 and gaps[len(gaps) // 2 + 1] > 0 and len(list_filter(gaps, lambda x: abs(x - gaps[len(gaps) // 2 + 1]) > gaps[len(gaps) // 2 + 1] * cast(0.2 as double))) = 0 then cast(floor(gaps[len(gaps) // 2 + 1] / 60 + 0.5) as int) end as minutes from h"""),
     "cross_route_departures": sql(_WAYS + " " + _CROSS.format(o="", c=f">= {START}")),
     "cross_route_departures_before": sql(_WAYS + " " + _CROSS.format(o="desc", c="< 50000")),
-    "station_backups": sql(_WAYS + """, legs as (select trip as leg, board, alight, dep from ways where trip % 50 = 0 and board_pos = 1 and alight_pos = 4),
+    "station_backups": sql(_WAYS + """, legs as (select trip as leg, board, alight, dep from ways where board_pos = 1 and alight_pos = 4),
       f as (select leg, other, other_dep, other_arr, other_dep < dep as early from (select l.leg, l.dep, w.trip as other, w.dep as other_dep, w.arr as other_arr, row_number() over (partition by l.leg, w.trip order by w.dep, w.arr) as k from legs l join ways w on w.board = l.board and w.alight = l.alight and w.trip <> l.leg) where k = 1),
       r as (select *, case when early then row_number() over (partition by leg, early order by other_dep desc, other desc) else row_number() over (partition by leg, early order by other_dep, other) end as rank from f)
       select leg, other, other_dep, other_arr, early, rank from r where rank <= case when early then 2 else 3 end"""),
@@ -280,11 +283,12 @@ ORACLES = {
     "segment_timetables": sql(_HOPS + " select f, t, count(*) as n, min(dep) as first_dep, max(arr) as last_arr, min(arr - dep) as least from hops group by f, t"),
     "rounds_profile": sql(_search(_ONE, 2) + """, p as (select stop, 0 as boardings, arr from r0 union all select stop, 1, arr from r1_w union all select stop, 2, arr from r2_w)
       select distinct stop, boardings, arr from p b where not exists (select 1 from p a where a.stop = b.stop and a.boardings <= b.boardings and a.arr <= b.arr and (a.boardings < b.boardings or a.arr < b.arr))"""),
-    "range_profile": sql(_search(f"select dep as request, 0 as stop, dep as arr from (select distinct dep from active where stop = 0 and dep between {START} and {START + 7200} order by dep limit 20)", 1) + """
+    "range_profile": sql(_search(f"select dep as request, 0 as stop, dep as arr from (select distinct dep from active where stop = 0 and dep between {START} and {START + 7200})", 1) + """
       select request as departure, stop, arr from r1 b where not exists (select 1 from r1 a where a.stop = b.stop and a.request > b.request and a.arr <= b.arr)"""),
-    "overnight_union": sql(f""", late as (select trip, line, svc, pos, stop, arr + 43200 as arr, dep + 43200 as dep from stop_times where line % 2 = 0),
-      both_days as (select * from late where svc <> {INACTIVE} union all select trip + 10000000, line, svc, pos, stop, arr - 86400, dep - 86400 from late where svc <> 4 and arr >= 86400)""" + _search("select 0 as request, 0 as stop, 10800 as arr", 1, "both_days", 7200) + " select stop, arr from r1"),
-    "onboard_arrival": sql(", riders as (select request, request * 13 % nt as trip from requests, nt where request % 10 = 0)" + _search("select r.request, s.stop, min(s.arr) as arr from riders r join stop_times s on s.trip = r.trip and s.pos > 1 group by r.request, s.stop", 1) + " select request, stop, arr from r1"),
+    "overnight_union": sql(f""", late as (select trip, line, svc, pos, stop, arr + case when line % 2 = 0 then 43200 else 0 end as arr, dep + case when line % 2 = 0 then 43200 else 0 end as dep from stop_times),
+      both_days as (select * from late where svc in (select svc from services where {ACTIVE_SQL.format(day=QUERY_DAY)}) union all select trip + 10000000, line, svc, pos, stop, arr - 86400, dep - 86400 from late where arr >= 86400 and svc in (select svc from services where {ACTIVE_SQL.format(day=QUERY_DAY - 1)}))"""
+      + _search("select 0 as request, 0 as stop, 10800 as arr", 1, "both_days") + " select stop, arr from r1"),
+    "onboard_arrival": sql(", riders as (select request, request * 13 % nt as trip from requests, nt)" + _search("select r.request, s.stop, min(s.arr) as arr from riders r join stop_times s on s.trip = r.trip and s.pos > 1 group by r.request, s.stop", 1) + " select request, stop, arr from r1"),
     "latest_departure_backward": sql("""
       , b0 as (select stop, max(dep) as dep from (select 5 as stop, 61200 as dep union all select f, 61200 - w from transfers where t = 5) group by stop)""" + "".join(f"""
       , l{k} as (select s.trip, max(s.pos) as pos from b{k - 1} b join active s on s.stop = b.stop and s.arr <= b.dep group by s.trip), d{k} as (select s.stop, max(s.dep) as dep from l{k} l join active s on s.trip = l.trip and s.pos < l.pos group by s.stop)

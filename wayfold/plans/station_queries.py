@@ -52,7 +52,7 @@ def index_invariants(spark, d):
 
 QUERIES = {f.__name__: f for f in (platform_match, platform_report, orphan_absorption, fare_operators, index_invariants)}
 
-_MATCH = f""", p as (select c_custkey as platform, 50 + c_custkey % 91 * cast(0.0004 as double) as y, 4 + c_custkey % 83 * cast(0.0007 as double) as x, 'P' || c_custkey % 4 as code from customer where c_custkey % 5 = 0),
+_MATCH = f""", p as (select c_custkey as platform, 50 + c_custkey % 91 * cast(0.0004 as double) as y, 4 + c_custkey % 83 * cast(0.0007 as double) as x, 'P' || c_custkey % 4 as code from customer),
   m as (select s.stop, p.platform, p.code = 'P' || s.stop % 4 as same_code, {_hav('s.lat', 's.lon', 'p.y', 'p.x')} as metres from stops s, p where s.stop % 9 <> 0),
   b as (select stop, platform, same_code, metres from (select *, row_number() over (partition by stop order by not same_code, metres, platform) as k from m where metres <= 400) where k = 1)"""
 _NAMES = "list_value(" + ", ".join(f"'{a}'" for a in AGENCIES) + ")"

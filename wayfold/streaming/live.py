@@ -49,10 +49,20 @@ def windowed_delays(updates: DataFrame, width: str = "15 minutes", late: str = "
 
 
 def publish(updates: DataFrame, stop_times: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each batch becomes the overlay (trip, pos, delay_s, skipped) of the trips that it names, in a folder of its own; readers take the last."""
+    """Each batch leaves the whole overlay (trip, pos, delay_s, skipped) in a folder of its own; readers take the last.
+
+    The last update of each stop of a trip goes on from batch to batch beside the overlay, so
+    delays that an earlier batch told stay. A batch that is done again reads what the one
+    before it left, never its own.
+    """
+    spark = updates.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        live = latest(batch, ["trip", "pos"])
+        known = batch
+        if number:
+            known = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/known={number - 1}"))
+        latest(known, ["trip", "pos"]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/known={number}")
+        live = spark.read.schema(batch.schema).parquet(f"{path}/known={number}")
         forward_fill(stop_times, live).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
