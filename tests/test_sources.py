@@ -125,13 +125,19 @@ def test_streams(spark, tmp_path):
     schema = "ts long, event_id long, trip long, pos int, delay_s int, kind string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
     source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    sticky = live.sticky_delays(source).writeStream.format("memory").queryName("sticky").outputMode("update").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c1")).start()
-    sticky.awaitTermination(120)
+    sticky = live.sticky_delays(source).writeStream.format("memory").queryName("sticky").outputMode("update").option("checkpointLocation", str(tmp_path / "c1")).start()
+    sticky.processAllAvailable()
+    sticky.stop()
     assert {(r.trip, r.pos, r.delay_s, r.ts) for r in spark.table("sticky").collect()} == {(5, 0, 60, 200), (5, 1, 10, 150)}
     times = spark.createDataFrame([(5, 0, 1, p, p, 100, 100) for p in range(4)], "trip long, line int, svc int, pos int, stop long, arr int, dep int")
     live.publish(source, times, str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("pos").collect()
     assert [(r.delay_s, r.skipped) for r in got] == [(60, False), (10, False), (None, True), (None, False)]
+    more = [(300, 5, 5, 1, 99, "delay")]
+    spark.createDataFrame(more, schema).write.mode("append").parquet(str(tmp_path / "in"))
+    live.publish(source, times, str(tmp_path / "out"), str(tmp_path / "c2")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out")).where("batch = 1").orderBy("pos").collect()
+    assert [(r.delay_s, r.skipped) for r in got] == [(60, False), (99, False), (None, True), (None, False)]  # what the first batch told stays
     windows = live.windowed_delays(source).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c3")).start()
     windows.awaitTermination(120)
-    assert spark.table("windows").agg(F.sum("n")).first()[0] == 4
+    assert spark.table("windows").agg(F.sum("n")).first()[0] == 5

@@ -60,9 +60,9 @@ def publish(updates: DataFrame, stop_times: DataFrame, path: str, checkpoint: st
     def write(batch: DataFrame, number: int) -> None:
         known = batch
         if number:
-            known = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/known={number - 1}"))
-        latest(known, ["trip", "pos"]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/known={number}")
-        live = spark.read.schema(batch.schema).parquet(f"{path}/known={number}")
+            known = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/_known/{number - 1}"))
+        latest(known, ["trip", "pos"]).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/_known/{number}")
+        live = spark.read.schema(batch.schema).parquet(f"{path}/_known/{number}")
         forward_fill(stop_times, live).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
