@@ -250,3 +250,16 @@ def test_quality(spark, none):
     assert quality.quality_scores(none, labels).count() == 0
     unlabelled = quality.quality_scores(docs, labels.limit(0)).collect()
     assert {r.score for r in unlabelled} == {0.5}
+
+
+def test_automata_locate_the_phrases(docs, rows, monkeypatch):
+    """Without what the automata find nothing is removed, and they find every place of a phrase."""
+    rng = np.random.default_rng(5)
+    words = [" ".join(rng.choice(list("abcdef"), 400)) for _ in range(3)]
+    part = phrases._Part(words, phrases._Words(0))
+    keys = np.unique(phrases._keys(part, np.arange(0, 300, 7)))
+    got = phrases.located(phrases.automaton(keys), part)
+    every = phrases._keys(part, np.arange(len(part.hashes) - 5))
+    assert got.tolist() == np.nonzero(np.isin(every, keys))[0].tolist() and len(got) > len(keys)
+    monkeypatch.setattr(phrases, "automaton", lambda keys: None)
+    assert sum(r.n_removed for r in phrases.digests(docs).collect()) == 0

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+from typing import TypeVar
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of the filter that all workers get, whatever the size of the input.
-FILTER_BITS = 1 << 28
+from .common import bounded, stored, text_of
+
+T = TypeVar("T")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -64,33 +70,62 @@ def anchors(hashes: np.ndarray, width: int, valid: np.ndarray) -> np.ndarray:
     return (_sliding(padded, width, np.maximum) == hashes) & (hashes != 0)
 
 
-def recurring_filter(counts: DataFrame) -> np.ndarray:
-    """A bit set of fixed size that holds every hash which counts (hash, n) has twice or more.
+def counted(shard: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """shard, key, n: how often each pair stands in the arrays."""
+    order = np.lexsort((key, shard))
+    shard, key = shard[order], key[order]
+    first = np.ones(len(order), bool)
+    first[1:] = (shard[1:] != shard[:-1]) | (key[1:] != key[:-1])
+    at = np.nonzero(first)[0]
+    n = np.diff(np.append(at, len(order)))
+    return pa.RecordBatch.from_arrays([pa.array(shard[at].astype(np.int32)), pa.array(key[at].astype(np.int64)), pa.array(n.astype(np.int32))], ["shard", "key", "n"])
 
-    Bits are put together where they are, so at most FILTER_BITS / 64 rows come to the driver,
-    however many hashes there are. More hashes than bits make the filter let more through; it
-    never holds anything back that recurs.
-    """
-    words = FILTER_BITS // 64
-    some = (
-        counts.groupBy("hash")
-        .agg(F.sum("n").alias("n"))
-        .where("n > 1")
-        .select(F.shiftright("hash", 6).bitwiseAND(F.lit(words - 1)).alias("word"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit"))
-        .groupBy("word")
-        .agg(F.expr("bit_or(bit)").alias("bits"))
-        .toArrow()
-    )
-    out = np.zeros(words, np.uint64)
-    if some.num_rows:
-        out[some.column("word").to_numpy()] = some.column("bits").to_numpy().view(np.uint64)
-    return out
 
+def dealt(docs: DataFrame, id_col: str, text_col: str, shard_bytes: int) -> DataFrame:
+    """shard, _id, _text: documents dealt out by a hash of id and text to shards of about so many bytes, or one document."""
+    total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    shard = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(max(1, math.ceil(total / shard_bytes)))).cast("int")
+    return docs.select(shard.alias("shard"), F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
 
-def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes the filter holds."""
-    at = (hashes >> np.uint64(6) & np.uint64(len(bits) - 1)).astype(np.int64)
-    return (bits[at] >> (hashes & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+def confirmed(counts: DataFrame) -> DataFrame:
+    """shard, key: of the keys that shards have (shard, key, n), those that the corpus has twice or more, for each shard that has them.
+
+    Counts are pre-aggregated and their sums are stored, so that the join back may be split
+    where a key is in every shard.
+    """
+    counts = stored(counts, "keys")
+    recurring = stored(counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "recurring")
+    return counts.select("shard", "key").join(recurring, "key").select("shard", "key")
+
+
+def delivered(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """shard, key, _id, _text: each shard's confirmed keys (the rest is null), and after them its documents (key is null)."""
+    own = keys.select("shard", "key", F.lit(None).cast(docs.schema["_id"].dataType).alias("_id"), F.lit(None).cast("string").alias("_text"))
+    both = own.unionByName(docs.select("shard", F.lit(None).cast("long").alias("key"), "_id", "_text"))
+    return both.repartition("shard").sortWithinPartitions("shard", F.col("key").isNull())
+
+
+def by_shard(batches: Iterator[pa.RecordBatch], compiled: Callable[[np.ndarray], T], limit: int) -> Iterator[tuple[T, pa.RecordBatch]]:
+    """What `compiled` makes of each shard's keys, with slices of its documents (_id, _text) of at most `limit` bytes of text or one document."""
+    shard, keys, made = None, [], None
+    for batch in batches:
+        of, is_key = batch.column(0).to_numpy(), batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        cuts = np.nonzero((of[1:] != of[:-1]) | (is_key[1:] != is_key[:-1]))[0] + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
+            if a == b:
+                continue
+            if of[a] != shard:
+                shard, keys, made = of[a], [], None
+            if is_key[a]:
+                keys.append(batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(np.int64))
+                continue
+            if made is None:
+                made = compiled(np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64))
+                keys = []
+            rows = batch.slice(a, b - a)
+            for part in bounded([pa.RecordBatch.from_arrays([rows.column(2), rows.column(3)], ["_id", "_text"])], 1, limit):
+                yield made, part
 
 
 def chosen_windows(at: np.ndarray, hashes: np.ndarray, reach: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

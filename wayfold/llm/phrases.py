@@ -1,11 +1,11 @@
-"""Substring dedup by words: recurring phrases located by a hash filter, windows of words removed after their first place.
-
-Each window of 20 words chooses an anchor, a phrase of six words in it, by a rule that looks
-at the words alone. Phrases that recur anywhere in the corpus are confirmed by counts and
-kept as bits; the anchors that pass are the places. Those of a shard of documents are also
-compiled into an Aho-Corasick automaton that the shard streams through, which finds the same
-places again. Only the windows that chose them can recur; those are named by 128 bits and
-compared over the whole corpus.
+"""Substring dedup by words: automata of recurring phrases locate them in all documents, windows of words are removed after their first place.
+
+Each window of 20 words has a phrase of six words that a rule on the words alone singles out.
+Phrases that are singled out twice or more over the corpus are confirmed, and a shard of
+documents gets the confirmed ones that it may hold: they are compiled into an Aho-Corasick
+automaton, and the shard's documents are streamed through it. What it locates is all that is
+looked at further on: windows are named by the words around the located phrases, and those
+names, of 128 bits, are compared over the whole corpus.
 """
 
 from __future__ import annotations
@@ -22,14 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import anchors, chosen_windows, mixed, passes, recurring_filter, run_hashes
-from .common import bounded, stored, text_of
+from .anchors import anchors, by_shard, chosen_windows, confirmed, counted, dealt, delivered, mixed
+from .common import bounded, small_batches, stored, text_of
 
 WINDOW = 20
 PHRASE = 6
-#: Documents and bytes in a shard, and words that a worker remembers at most.
-SHARD_DOCS = 1000
-SHARD_BYTES = 4_000_000
+#: Bytes in a shard, and words that a worker remembers at most.
+SHARD_BYTES = 2_000_000
 MEMO_WORDS = 500_000
 class _Words(dict):
     def __init__(self, seed: int):
@@ -45,62 +44,28 @@ class _Words(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-class _Shard:
-    """The words of a batch of documents, end to end, and which phrases of theirs are anchors."""
+class _Part:
+    """The words of some documents, end to end."""
 
     def __init__(self, texts: list[str], memo: _Words):
         split = [t.encode().split() for t in texts]
-        self.words = [w for words in split for w in words]
         self.sizes = np.fromiter(map(len, split), np.int64, len(split))
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.hashes = memo.of(self.words)
         self.doc = np.repeat(np.arange(len(texts)), self.sizes)
-        n = len(self.words)
-        self.whole = self.doc[: n - WINDOW + 1] == self.doc[WINDOW - 1 :] if n >= WINDOW else np.zeros(0, bool)
-        self.phrases = run_hashes(self.hashes, PHRASE)
-        self.anchors = np.nonzero(anchors(self.phrases, WINDOW - PHRASE + 1, self.whole))[0] if n >= WINDOW else np.zeros(0, np.int64)
+        self.hashes = memo.of([w for words in split for w in words])
+        self.sums = _Sums(self.hashes)
 
+    def phrases(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the phrases that begin at these places; never 0, which anchors() takes for none."""
+        return np.maximum(self.sums.of(at, at + PHRASE), np.uint64(1))
 
-def phrase_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """hash, n: anchor phrases of all windows, counted within each shard."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words(0)
-        for batch in bounded(batches, 0, SHARD_BYTES):
-            shard = _Shard(batch.column(0).to_pylist(), memo)
-            found, n = np.unique(shard.phrases[shard.anchors], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], ["hash", "n"])
-
-    return docs.select(text_of(text_col)).mapInArrow(run, "hash long, n int")
-
-
-#: Letters of the automata: each word is LETTERS characters of 7 bits, so that a node has few children.
-LETTERS = 4
-
-
-def _spelled(hashes: np.ndarray) -> str:
-    """Words as LETTERS characters each, from the upper bits of their hashes."""
-    parts = [(hashes >> np.uint64(36 + 7 * k) & np.uint64(127)).astype(np.uint8) for k in range(LETTERS)]
-    return np.stack(parts, axis=1).tobytes().decode("latin-1")
-
-
-def _located(shard: _Shard, bits: np.ndarray) -> np.ndarray:
-    """Places among the shard's anchors at which its automaton finds a recurring phrase."""
-    hashes = shard.phrases[shard.anchors]
-    recurring = shard.anchors[passes(bits, hashes)]
-    if not len(recurring):
-        return recurring
-    text, width = _spelled(shard.hashes), LETTERS * PHRASE
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    _, first = np.unique(shard.phrases[recurring], return_index=True)
-    for at in (recurring[first] * LETTERS).tolist():
-        automaton.add_word(text[at : at + width])
-    automaton.make_automaton()
-    ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
-    ends = ends[(ends + 1) % LETTERS == 0]  # the others begin inside a word
-    found = np.zeros(len(shard.words), bool)
-    found[(ends + 1) // LETTERS - PHRASE] = True
-    return np.nonzero(found[shard.anchors])[0]
+    def singled_out(self) -> np.ndarray:
+        """Places of the phrases that have the least hash in some window of one document."""
+        n = len(self.hashes)
+        if n < WINDOW:
+            return np.zeros(0, np.int64)
+        whole = self.doc[: n - WINDOW + 1] == self.doc[WINDOW - 1 :]
+        return np.nonzero(anchors(self.phrases(np.arange(n - PHRASE + 1)), WINDOW - PHRASE + 1, whole))[0]
 
 
 class _Sums:
@@ -126,38 +91,94 @@ class _Sums:
         return mixed((self._sum[end] - self._sum[first]) * self._down[first] + (end - first).astype(np.uint64))
 
 
+#: A word is spelled by LETTERS letters of LETTER_BITS bits from its hash: a phrase is a number of 60 bits, and a node of an automaton has few children.
+LETTERS, LETTER_BITS = 2, 5
+_LEAST = (1 << LETTER_BITS) - 1
+
+
+def _letters(hashes: np.ndarray) -> np.ndarray:
+    return np.stack([(hashes >> np.uint64(64 - LETTER_BITS * (k + 1)) & np.uint64(_LEAST)).astype(np.uint8) for k in range(LETTERS)], axis=1)
+
+
+def _keys(part: _Part, at: np.ndarray) -> np.ndarray:
+    """The phrases at these places, spelled as numbers."""
+    code = (part.hashes >> np.uint64(64 - LETTERS * LETTER_BITS)).astype(np.int64)
+    key = np.zeros(len(at), np.int64)
+    for k in range(PHRASE):
+        key = key << (LETTERS * LETTER_BITS) | code[at + k]
+    return key
+
+
+def _text(letters: np.ndarray) -> str:
+    return (letters.ravel() + np.uint8(ord("@"))).tobytes().decode("ascii")
+
+
+def automaton(keys: np.ndarray) -> ahocorasick.Automaton | None:
+    """The automaton of the phrases that these numbers spell; None for none."""
+    if not len(keys):
+        return None
+    width = LETTERS * PHRASE
+    text = _text(np.stack([(keys >> (LETTER_BITS * (width - 1 - k)) & _LEAST).astype(np.uint8) for k in range(width)], axis=1))
+    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for k in range(0, len(text), width):
+        out.add_word(text[k : k + width])
+    out.make_automaton()
+    return out
+
+
+def located(found: ahocorasick.Automaton | None, part: _Part) -> np.ndarray:
+    """The places, in order, at which the automaton finds its phrases in the part's words."""
+    if found is None or not len(part.hashes):
+        return np.zeros(0, np.int64)
+    ends = np.fromiter((end for end, _ in found.iter(_text(_letters(part.hashes)))), np.int64) + 1
+    return ends[ends % LETTERS == 0] // LETTERS - PHRASE  # the others begin inside a word
+
+
+def phrase_counts(docs: DataFrame) -> DataFrame:
+    """shard, key, n: the phrases that windows single out in each shard's documents (shard, _id, _text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Words(0)
+        for batch in bounded(batches, 1, SHARD_BYTES):
+            part = _Part(batch.column(1).to_pylist(), memo)
+            at = part.singled_out()
+            yield counted(batch.column(0).to_numpy()[part.doc[at]], _keys(part, at))
+
+    return docs.select("shard", "_text").mapInArrow(run, "shard int, key long, n int")
+
+
 def _expanded(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """first, first + 1, ... of each row, count numbers in all."""
     return np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
 
 
-def occurrences(docs: DataFrame, bits: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The places of recurring phrases: id, hash (of the phrase), kind (a hash of all words of the n windows that chose it), start (of the first window), n, again and windows.
+def occurrences(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The places of located phrases: id, hash (of the phrase), kind (a hash of all words of the n windows that chose it), start (of the first window), n, again and windows.
 
-    again has the windows, counted from the first, that the same document has earlier. windows
-    has the hash of each window, once for each kind and shard: where the id is smallest. Equal
-    windows choose equal phrases, so phrase and window, or phrase and kind, are names of 128 bits.
+    docs are dealt() and keys confirmed(). A window chooses the phrase of least hash that was
+    located in it. A window that recurs has the phrase that it singles out located wherever it
+    stands, and no other one in it has a smaller hash, so it chooses that one everywhere. again
+    has the windows, counted from the first, that the same document has earlier. windows has
+    the hash of each window, once for each kind and part of a shard: where the id is smallest.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(bits)  # FILTER_BITS bound it
-    names = [id_col, "hash", "kind", "start", "n", "again", "windows"]
+    names = ["id", "hash", "kind", "start", "n", "again", "windows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words(0)
-        for batch in bounded(batches, 1, SHARD_BYTES):
-            shard = _Shard(batch.column(1).to_pylist(), memo)
-            found = _located(shard, shipped.value)
-            if not len(found):
+        for found, batch in by_shard(batches, automaton, SHARD_BYTES):
+            part = _Part(batch.column(1).to_pylist(), memo)
+            at = located(found, part)
+            if not len(at):
+                continue
+            doc, hashes, sums = part.doc[at], part.phrases(at), part.sums
+            first, last = chosen_windows(at, hashes, WINDOW - PHRASE, part.starts[doc], part.starts[doc] + part.sizes[doc] - WINDOW)
+            some = np.nonzero(first <= last)[0]
+            if not len(some):
                 continue
-            at = shard.anchors
-            doc = shard.doc[at]
-            hashes = shard.phrases[at]
-            first, last = chosen_windows(at, hashes, WINDOW - PHRASE, shard.starts[doc], shard.starts[doc] + shard.sizes[doc] - WINDOW)
-            found = found[first[found] <= last[found]]
-            first, n, doc, hashes = first[found], (last - first)[found] + 1, doc[found], hashes[found]
-            sums = _Sums(shard.hashes)
+            first, n, doc, hashes = first[some], (last - first)[some] + 1, doc[some], hashes[some]
             kind = sums.of(first, first + n - 1 + WINDOW)
 
-            again: list = [None] * len(found)
+            again: list = [None] * len(some)
             key = mixed(hashes ^ mixed(doc.astype(np.uint64) + np.uint64(1)))
             _, which, times = np.unique(key, return_inverse=True, return_counts=True)
             rows = np.nonzero(times[which] > 1)[0]
@@ -182,12 +203,12 @@ def occurrences(docs: DataFrame, bits: np.ndarray, id_col: str = "doc_id", text_
             offsets = np.concatenate([[0], np.cumsum(np.where(given, n, 0))]).astype(np.int32)
             windows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.of(places, places + WINDOW).view(np.int64)), mask=pa.array(~given))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(doc)), pa.array(hashes.view(np.int64)), pa.array(kind.view(np.int64)), pa.array((first - shard.starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again, pa.list_(pa.int32())), windows], names
+                [batch.column(0).take(pa.array(doc)), pa.array(hashes.view(np.int64)), pa.array(kind.view(np.int64)), pa.array((first - part.starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again, pa.list_(pa.int32())), windows], names
             )
 
     kinds = (T.LongType(), T.LongType(), T.IntegerType(), T.IntegerType(), T.ArrayType(T.IntegerType()), T.ArrayType(T.LongType()))
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=True))])
-    return docs.select(F.col(id_col), text_of(text_col)).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema["_id"].dataType), *(T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=True))])
+    return delivered(docs, keys).mapInArrow(run, schema)
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -198,9 +219,9 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     document of smaller id, which only the windows of kinds have to tell, not those of places.
     All sums are pre-aggregated however common a phrase is, and joins may be split where hot.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(SHARD_DOCS))
-    bits = recurring_filter(phrase_counts(docs, text_col))
-    found = stored(occurrences(docs, bits, id_col, text_col), "occurrences")
+    small_batches(docs.sparkSession)
+    shards = dealt(docs, id_col, text_col, SHARD_BYTES)
+    found = stored(occurrences(shards, confirmed(phrase_counts(shards))).withColumnRenamed("id", id_col), "occurrences")
     kinds = stored(found.groupBy("hash", "kind").agg(F.min(id_col).alias("first_id")), "kinds")
     several = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("hash")
     wanted = kinds.join(several, "hash")

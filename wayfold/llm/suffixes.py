@@ -18,17 +18,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .anchors import anchors, chosen_windows, passes, recurring_filter, run_hashes
-from .common import bounded, stored, text_of
+from .anchors import anchors, by_shard, chosen_windows, confirmed, counted, dealt, delivered, run_hashes
+from .common import bounded, small_batches, stored, text_of
 
 WINDOW = 200
 RUN = 32
 #: Bytes that a shard sorts at once, and neighbourhoods of one anchor that it takes at most: under 4.6 MB, which take some 100 times that to sort. Where an anchor has more, its windows are counted over the corpus.
 SHARD_BYTES = 400_000
 SHARD_ROWS = 8000
-BATCH_DOCS = 500
-#: Bytes of text that a worker looks at together.
-BATCH_BYTES = 2_000_000
+#: Bytes of text in a shard of documents, which a worker looks at together.
+DOC_BYTES = 2_000_000
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -125,39 +124,38 @@ class _Batch:
         self.whole = np.arange(n - WINDOW + 1) + WINDOW <= last
         self.anchors = np.nonzero(anchors(self.hashes, WINDOW - RUN + 1, self.whole))[0]
 
-    def neighbourhoods(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """anchor, first window, last window: for each recurring anchor the run of windows that chose it."""
+    def neighbourhoods(self, recurring: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """anchor, first window, last window: for each anchor whose hash recurs the run of windows that chose it."""
         at = self.anchors
         if not len(at):
             return at, at, at
         hashes = self.hashes[at]
         doc = np.searchsorted(self.starts, at, "right") - 1
         first, last = chosen_windows(at, hashes, WINDOW - RUN, self.starts[doc], self.starts[doc] + self.sizes[doc] - WINDOW)
-        keep = passes(bits, hashes) & (first <= last)
+        keep = np.isin(hashes.view(np.int64), recurring) & (first <= last)
         return at[keep], first[keep], last[keep]
 
 
-def anchor_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """hash, n: anchors of all windows, counted within each batch."""
+def anchor_counts(docs: DataFrame) -> DataFrame:
+    """shard, key, n: hashes of the anchors of all windows in each shard's documents (shard, _id, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, 0, BATCH_BYTES):
-            own = _Batch(batch.column(0).to_pylist())
-            found, n = np.unique(own.hashes[own.anchors], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int32))], ["hash", "n"])
+        for batch in bounded(batches, 1, DOC_BYTES):
+            own = _Batch(batch.column(1).to_pylist())
+            shard = batch.column(0).to_numpy()[np.searchsorted(own.starts, own.anchors, "right") - 1]
+            yield counted(shard, own.hashes[own.anchors].view(np.int64))
 
-    return docs.select(text_of(text_col)).mapInArrow(run, "hash long, n int")
+    return docs.select("shard", "_text").mapInArrow(run, "shard int, key long, n int")
 
 
-def neighbourhoods(docs: DataFrame, bits: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, hash (the anchor's), start (of the first window), bytes (of all windows that chose it), a and b (their name of 128 bits)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(bits)  # its size is fixed
-    names = [id_col, "hash", "start", "bytes", "a", "b"]
+def neighbourhoods(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """id, hash (the anchor's), start (of the first window), bytes (of all windows that chose it), a and b (their name of 128 bits); docs are dealt() and keys confirmed()."""
+    names = ["id", "hash", "start", "bytes", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in bounded(batches, 1, BATCH_BYTES):
+        for recurring, batch in by_shard(batches, lambda found: found, DOC_BYTES):
             own = _Batch(batch.column(1).to_pylist())
-            at, first, last = own.neighbourhoods(shipped.value)
+            at, first, last = own.neighbourhoods(recurring)
             if not len(at):
                 continue
             doc = np.searchsorted(own.starts, at, "right") - 1
@@ -169,8 +167,8 @@ def neighbourhoods(docs: DataFrame, bits: np.ndarray, id_col: str = "doc_id", te
             )
 
     kinds = (T.LongType(), T.IntegerType(), T.BinaryType(), T.LongType(), T.LongType())
-    schema = T.StructType([docs.schema[id_col], *(T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=True))])
-    return docs.select(F.col(id_col), text_of(text_col)).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("id", docs.schema["_id"].dataType), *(T.StructField(n, t) for n, t in zip(names[1:], kinds, strict=True))])
+    return delivered(docs, keys).mapInArrow(run, schema)
 
 
 def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,10 +213,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     anchor with more than SHARD_ROWS of them would make a task of unbounded size: its windows
     are named and counted over the corpus, pre-aggregated where they are made.
     """
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCS))
-    bits = recurring_filter(anchor_counts(docs, text_col))
-    found = stored(neighbourhoods(docs, bits, id_col, text_col), "neighbourhoods")
+    small_batches(docs.sparkSession)
+    shards = dealt(docs, id_col, text_col, DOC_BYTES)
+    found = stored(neighbourhoods(shards, confirmed(anchor_counts(shards))).withColumnRenamed("id", id_col), "neighbourhoods")
     kinds = stored(found.groupBy("hash", "a", "b", "bytes").agg(F.count(F.lit(1)).alias("n")), "kinds")
     per_anchor = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("kinds"))
     whole = kinds.where("n > 1").select("a", "b", F.lit(0).alias("first"), (F.length("bytes") - WINDOW).alias("last"))
