@@ -1,0 +1,132 @@
+"""Ranks of suffixes by the difference cover {1, 2} of 3, sorted over all machines.
+
+Many short strings are ranked together. The triples at the places of the cover are sorted by
+range partitions and named by how many are smaller; the names make shorter strings, whose
+suffixes are ranked in the same way; then the places outside the cover are merged in by the
+ranks that follow them. No step gathers more than one string in a row, or a key's counts.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import discard, stored
+
+
+def ranked(rows: DataFrame, keys: list[str], flags: list[str]) -> DataFrame:
+    """rows with below_<flag> for each flag (0 or 1): how many rows with a smaller key have it.
+
+    Equal keys are counted before they are sorted; the sorted partitions count on their own,
+    and what the ones before hold is added from one row for each partition.
+    """
+    names = [*keys, *flags, *(f"below_{f}" for f in flags), "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, part = [0] * len(flags), TaskContext.get().partitionId()
+        for batch in batches:
+            below = []
+            for k in range(len(flags)):
+                own = batch.column(len(keys) + k).to_numpy()
+                sums = np.cumsum(own)
+                below.append(pa.array(held[k] + sums - own))
+                held[k] += int(sums[-1]) if len(sums) else 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, *below, pa.array(np.full(batch.num_rows, part, np.int32))], names)
+
+    sums = stored(rows.groupBy(*keys).agg(*[F.sum(f).cast("long").alias(f) for f in flags]), "keys")
+    kinds = ", ".join(f"{n} long" for n in names[:-1]) + ", part int"
+    table = stored(sums.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, kinds), "ranked")
+    totals = sorted(map(tuple, table.groupBy("part").agg(*[F.sum(f) for f in flags]).collect()))  # a row for each partition
+    before = [(part, *(sum(t[1 + k] for t in totals[:i]) for k in range(len(flags)))) for i, (part, *_) in enumerate(totals)]
+    offsets = rows.sparkSession.createDataFrame(before, "_part int, " + ", ".join(f"_{f} long" for f in flags))
+    whole = table.join(F.broadcast(offsets), F.col("part") == F.col("_part")).select(*keys, *[(F.col(f"below_{f}") + F.col(f"_{f}")).alias(f"below_{f}") for f in flags])
+    return rows.join(whole, keys)
+
+
+def _at(symbols: Column, p: Column, beyond: int = 0) -> Column:
+    return F.coalesce(F.get(symbols, p.cast("int")), F.lit(beyond).cast("long"))
+
+
+def suffix_ranks(strings: DataFrame, ids: list[str], length: int, prefix: int, cover: int = 1) -> DataFrame:
+    """ids and r (array of long): for each place of a string how many suffixes of all strings are smaller.
+
+    strings has ids and c, an array of `length` numbers, 0 after the string's end. Suffixes
+    that agree on `prefix` symbols of the first level may be in any order among themselves;
+    cover says how many of those a symbol of this level stands for.
+    """
+    ones, twos, zeros = list(range(1, length, 3)), list(range(2, length, 3)), list(range(0, length, 3))
+    index = {p: i for i, p in enumerate(ones)} | {p: len(ones) + 1 + i for i, p in enumerate(twos)}
+    places = lambda ps: F.array(*[F.struct(F.lit(p).alias("p"), F.lit(index.get(p, -1)).alias("i"), *[F.lit(index.get(p + k, 1 << 20)).alias(f"i{k}") for k in (1, 2)]) for p in ps])
+    here = strings.select(*ids, "c", F.explode(places([*ones, *twos])).alias("q"))
+    triples = here.select(*ids, F.col("q.i").alias("i"), *[_at(F.col("c"), F.col("q.p") + k).alias("xyz"[k]) for k in range(3)], F.lit(1).alias("one"))
+    named = ranked(triples, ["x", "y", "z"], ["one"]).select(*ids, "i", (F.col("below_one") + 1).alias("v"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"])
+    shorter = -(-(len(ones) + 1 + len(twos)) // 3) * 3
+    gap = F.array(F.lit(0).cast("long"))
+    pad = F.array_repeat(F.lit(0).cast("long"), shorter - len(ones) - 1 - len(twos))
+    reduced = stored(named.groupBy(*ids).agg(listed.alias("v")).select(*ids, F.concat(F.slice("v", 1, len(ones)), gap, F.slice("v", len(ones) + 1, len(twos)), pad).alias("c")), "names")
+    if 3 * cover < prefix:
+        order, extra = suffix_ranks(reduced, ids, shorter, prefix, 3 * cover), strings.count() * (shorter - len(ones) - len(twos))  # its zeros are smaller than all names
+    else:
+        order, extra = reduced.select(*ids, F.col("c").alias("r")), 1
+    known = stored(strings.join(order, ids), "known")  # r: ranks in the order of the shorter strings
+    rank = lambda i: _at(F.col("r"), F.col(f"q.{i}"), -1)
+
+    def merged(other: list[int], flag: str, keys: list[Column]) -> DataFrame:
+        rows = known.select(*ids, "c", "r", F.explode(places([*zeros, *other])).alias("q"))
+        is_zero = (F.col("q.p") % 3 == 0).cast("int")
+        return ranked(rows.select(*ids, F.col("q.p").alias("p"), F.when(is_zero == 0, rank("i") - extra).alias("own"), is_zero.alias("zero"), (1 - is_zero).alias(flag), *[k.alias("xyz"[n]) for n, k in enumerate(keys)]), list("xyz"[: len(keys)]), ["zero", flag])
+
+    c = lambda k: _at(F.col("c"), F.col("q.p") + k)
+    with_ones = merged(ones, "first", [c(0), rank("i1")])
+    with_twos = merged(twos, "second", [c(0), c(1), rank("i2")])
+    parts = [
+        with_ones.select(*ids, "p", F.when(F.col("zero") == 1, F.col("below_zero") + F.col("below_first")).otherwise(F.col("own") + F.col("below_zero")).alias("v")),
+        with_twos.select(*ids, "p", F.when(F.col("zero") == 1, F.col("below_second")).otherwise(F.col("own") + F.col("below_zero")).alias("v")),
+    ]
+    whole = reduce(DataFrame.unionByName, parts).groupBy(*ids, "p").agg(F.sum("v").alias("v"))
+    out = stored(whole.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda s: s["v"]).alias("r")), "ranks")
+    discard(known)
+    return out
+
+
+def equal_neighbours(rows: DataFrame, order: list[str], digest: list[str], ids: list[str]) -> DataFrame:
+    """ids of the rows whose digest is that of the row before or after in the order.
+
+    Partitions of the sorted rows are walked one by one; the first and last row of each are
+    compared with those of the next, of which one row for each partition tells.
+    """
+    names = [*ids, "same", "part", "edge", *digest]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if table is None or not table.num_rows:
+            return
+        n = table.num_rows
+        marks = np.stack([table.column(len(ids) + k).to_numpy() for k in range(len(digest))])
+        with_next = (marks[:, 1:] == marks[:, :-1]).all(axis=0)
+        same = np.zeros(n, bool)
+        same[1:] |= with_next
+        same[:-1] |= with_next
+        edge = np.zeros(n, np.int32)
+        edge[0] |= 1
+        edge[-1] |= 2
+        part = np.full(n, TaskContext.get().partitionId(), np.int32)
+        columns = [table.column(k).combine_chunks() for k in range(len(ids))]
+        yield from pa.Table.from_arrays([*columns, pa.array(same), pa.array(part), pa.array(edge), *(pa.array(m) for m in marks)], names).to_batches(10_000)
+
+    kinds = ", ".join([*(f"{i} {rows.schema[i].dataType.simpleString()}" for i in ids), "same boolean", "part int", "edge int", *(f"{d} long" for d in digest)])
+    walked = stored(rows.repartitionByRange(*order, *ids).sortWithinPartitions(*order, *ids).select(*ids, *digest).mapInArrow(run, kinds), "walked")
+    edges = walked.where("edge > 0").select("part", "edge", *digest).collect()  # two rows for each partition
+    first, last = ({r["part"]: tuple(r[d] for d in digest) for r in edges if r["edge"] & bit} for bit in (1, 2))
+    parts = sorted(first)
+    after = [q for p, q in zip(parts, parts[1:], strict=False) if last[p] == first[q]]
+    before = [p for p, q in zip(parts, parts[1:], strict=False) if last[p] == first[q]]
+    also = (F.col("edge").bitwiseAND(1) != 0) & F.col("part").isin(after) | (F.col("edge").bitwiseAND(2) != 0) & F.col("part").isin(before)
+    return walked.where(F.col("same") | also).select(*ids)

@@ -4,7 +4,8 @@ A string of 200 bytes can only recur where the anchor that it chooses recurs, so
 anchor's neighbourhood, the bytes of all windows that chose it, goes to the shard that the
 anchor names: equal windows meet in one shard. A shard sorts the suffixes of its neighbourhoods
 (sort sampled triples, recurse on their names, merge the remaining suffixes) and marks those
-that share 200 bytes with the next one.
+that share 200 bytes with the next one; what an anchor has too much of for a shard is sorted by
+the same steps over all machines (cover.py).
 """
 
 from __future__ import annotations
@@ -20,12 +21,13 @@ from pyspark.sql import types as T
 
 from .anchors import anchors, by_shard, chosen_windows, confirmed, counted, dealt, delivered, run_hashes
 from .common import bounded, small_batches, stored, text_of
+from .cover import equal_neighbours, suffix_ranks
 
 WINDOW = 200
 RUN = 32
-#: Bytes that a shard sorts at once, and neighbourhoods of one anchor that it takes at most: under 4.6 MB, which take some 100 times that to sort. Where an anchor has more, its windows are counted over the corpus.
+#: Bytes that a shard sorts at once, and neighbourhoods of one anchor that it takes at most: under 0.8 MB, which take some 100 times that to sort. Where an anchor has more, they are sorted over all machines.
 SHARD_BYTES = 400_000
-SHARD_ROWS = 8000
+SHARD_ROWS = 2000
 #: Bytes of text in a shard of documents, which a worker looks at together.
 DOC_BYTES = 2_000_000
 
@@ -193,25 +195,45 @@ def _sorted_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield settle(held)
 
 
+#: The most bytes that a neighbourhood has, in whole triples.
+LONGEST = -(-(2 * WINDOW - RUN + 1) // 3) * 3
+
+
+def _symbols(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, bytes) as numbers from 1, and zeros up to the length of all."""
+    for batch in batches:
+        c = np.zeros((batch.num_rows, LONGEST), np.int64)
+        for row, data in zip(c, batch.column(2).to_pylist(), strict=True):
+            row[: len(data)] = np.frombuffer(data, np.uint8).astype(np.int64) + 1
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(c), pa.list_(pa.int64()))], ["a", "b", "c"])
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of each row (a, b, bytes), with its name of 128 bits."""
+    """Every window of each row (a, b, bytes, r): its first byte, its rank, and a digest of 128 bits."""
     for batch in batches:
         for k in range(0, batch.num_rows, 200):
             rows = list(zip(*(c.to_pylist() for c in batch.slice(k, 200).columns), strict=True))
-            found = [(a, b, i, *divmod(xxhash.xxh3_128_intdigest(x[i : i + WINDOW]), 1 << 64)) for a, b, x in rows for i in range(len(x) - WINDOW + 1)]
-            names = np.array([f[3:] for f in found], np.uint64).reshape(-1, 2).view(np.int64)
+            found = [(a, b, i, r[i], *divmod(xxhash.xxh3_128_intdigest(x[i : i + WINDOW]), 1 << 64)) for a, b, x, r in rows for i in range(len(x) - WINDOW + 1)]
+            names = np.array([f[4:] for f in found], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), pa.array(names[:, 0]), pa.array(names[:, 1])], ["a", "b", "first", "wa", "wb"]
+                [*(pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int64()), pa.array(names[:, 0]), pa.array(names[:, 1])], ["a", "b", "first", "rank", "da", "db"]
             )
 
 
+def _sorted_over_machines(kinds: DataFrame) -> DataFrame:
+    """a, b, first, last: as _sorted_shards, for the neighbourhoods (a, b, bytes) of anchors that have too many for a task: their triples are sorted over all machines."""
+    ranks = suffix_ranks(stored(kinds.mapInArrow(_symbols, "a long, b long, c array<long>"), "symbols"), ["a", "b"], LONGEST, WINDOW)
+    windows = kinds.join(ranks, ["a", "b"]).select("a", "b", "bytes", "r").mapInArrow(_windows, "a long, b long, first int, rank long, da long, db long")
+    return equal_neighbours(stored(windows, "windows"), ["rank"], ["da", "db"], ["a", "b", "first"]).select("a", "b", "first", F.col("first").alias("last"))
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, runs (array of structs first, last): starts of the windows that stand anywhere else too.
 
-    Equal neighbourhoods are one row before anything is compared; all windows of one that
-    occurs twice are repeated, which needs no sort. The others of an anchor go to its shard. An
-    anchor with more than SHARD_ROWS of them would make a task of unbounded size: its windows
-    are named and counted over the corpus, pre-aggregated where they are made.
+    Equal neighbourhoods are one row before anything is sorted, and all windows of one that
+    occurs twice are repeated. The different ones of an anchor are sorted by the difference
+    cover: in the shard that the anchor names, or, where an anchor has more than SHARD_ROWS of
+    them, over all machines.
     """
     small_batches(docs.sparkSession)
     shards = dealt(docs, id_col, text_col, DOC_BYTES)
@@ -221,12 +243,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = kinds.where("n > 1").select("a", "b", F.lit(0).alias("first"), (F.length("bytes") - WINDOW).alias("last"))
     mixed_kinds = kinds.join(per_anchor.where("kinds > 1"), "hash")
     few = mixed_kinds.where(f"kinds <= {SHARD_ROWS}").select("hash", "a", "b", "bytes").repartition("hash").sortWithinPartitions("hash", "a", "b")
-    sorted_runs = few.mapInArrow(_sorted_shards, "a long, b long, first int, last int")
-    windows = mixed_kinds.where(f"kinds > {SHARD_ROWS}").select("a", "b", "bytes").mapInArrow(_windows, "a long, b long, first int, wa long, wb long")
-    windows = stored(windows, "windows")
-    common = windows.groupBy("wa", "wb").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("wa", "wb")
-    counted = windows.join(common, ["wa", "wb"]).select("a", "b", "first", F.col("first").alias("last"))
-    runs = stored(whole.unionByName(sorted_runs).unionByName(counted), "runs")
+    runs = whole.unionByName(few.mapInArrow(_sorted_shards, "a long, b long, first int, last int"))
+    many = stored(mixed_kinds.where(f"kinds > {SHARD_ROWS}").select("a", "b", "bytes"), "many")
+    if not many.isEmpty():
+        runs = runs.unionByName(_sorted_over_machines(many))
+    runs = stored(runs, "runs")
     of_doc = found.select(id_col, "start", "a", "b").join(runs, ["a", "b"])
     return of_doc.groupBy(id_col).agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last"))).alias("runs"))
 
