@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, text_of
+from .common import shared_dir, small_batches, text_of
 from .lexicon import Lexicon, compile_lexicon
 
 #: Units in the lexicon at most; with UNIT_BYTES it bounds the file that each machine loads.
@@ -29,10 +29,8 @@ LEXICON_UNITS = 30_000
 UNIT_BYTES = 48
 #: Every unit that makes more than this share of all units is counted for sure.
 LEAST_SHARE = 1 / 500_000
-#: Units that a worker remembers at most.
-MEMO_UNITS = 300_000
-#: Rows in a batch between Spark and Python.
-BATCH_ROWS = 1000
+#: Units and bytes that a worker remembers at most, and units that it counts at once.
+MEMO_UNITS, MEMO_BYTES = 300_000, 64_000_000
 
 #: Fixed value: the pattern that splits text before the merges.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -95,14 +93,14 @@ class Coder:
             new = list({piece for text in texts for piece in text.split(" ")}.difference(self.spaced))
             units = [f" {piece}" for piece in new]
             for piece, unit, known in zip(new, units, self._lexicon.get_many([u.encode() for u in units]), strict=True):
-                self.spaced[piece] = self._merged(unit) if known is None else known
+                self.spaced.put(piece, self._merged(unit) if known is None else known)
         return [self.encode(text) for text in texts]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
-        if len(self.spaced) > MEMO_UNITS or len(self.plain) > MEMO_UNITS:
-            self.spaced.clear()
-            self.plain.clear()
+        if self.spaced.full() or self.plain.full():
+            self.spaced.forget()
+            self.plain.forget()
         if self._specials is not None and self._specials.search(text):
             return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else self._segment(x) for x in self._specials.split(text))
         return self._segment(text)
@@ -124,13 +122,26 @@ class Coder:
 
 
 class _Memo(dict):
+    """What units give; their bytes are counted, as a text without spaces is one unit."""
+
     def __init__(self, make: Callable[[str], bytes]):
-        self._make = make
+        self._make, self._bytes = make, 0
 
     def __missing__(self, key: str) -> bytes:
-        value = self[key] = self._make(key)
+        return self.put(key, self._make(key))
+
+    def put(self, key: str, value: bytes) -> bytes:
+        self[key] = value
+        self._bytes += 4 * len(key) + len(value)
         return value
 
+    def full(self) -> bool:
+        return len(self) > MEMO_UNITS or self._bytes > MEMO_BYTES
+
+    def forget(self) -> None:
+        self.clear()
+        self._bytes = 0
+
 
 _CODERS: dict[tuple, Coder] = {}
 
@@ -143,11 +154,6 @@ def coder(path: str, lexicon_file: str | None = None) -> Coder:
     return _CODERS[path, lexicon_file]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Long texts: fewer rows in a batch than Spark's default."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def unit_counts(docs: DataFrame, text_col: str = "text", share: float = LEAST_SHARE) -> DataFrame:
     """unit, n: units after a space, by lossy counting over every document.
 
@@ -162,7 +168,7 @@ def unit_counts(docs: DataFrame, text_col: str = "text", share: float = LEAST_SH
             for text in batch.column(0).to_pylist():
                 pieces = text.split(" ")
                 total += len(pieces) - 1
-                counts.update(pieces[1:])
+                counts.update(p for p in pieces[1:] if len(p) < UNIT_BYTES)  # longer ones are never kept
                 if len(counts) > 2 * MEMO_UNITS:
                     least = max(1, int(total * share))
                     counts = Counter({u: n for u, n in counts.items() if n > least})
@@ -230,7 +236,11 @@ def _decimal(ids: bytes) -> str:
 
 
 def round_trip_digests(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_tokens, SHA-256 of its decimal ids, and SHA-256 of the text decoded from those ids."""
+    """Per document: n_tokens, SHA-256 of its decimal ids, and SHA-256 of the text decoded from those ids.
+
+    Null texts count as empty: no tokens, and the digests of no text. Rows that repeat are coded
+    alike, null ids stay, and an empty table gives no rows.
+    """
     tokenizer = tokenizer or default_tokenizer()
     small_batches(docs.sparkSession)
     lexicon = build_lexicon(docs, tokenizer, text_col)

@@ -27,14 +27,16 @@ def text_of(name: str = "text") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where neither the session nor the context has one (tests on one machine),
-    a temporary folder is set.
+    Only on one machine, where neither the session nor the context has one, a temporary
+    folder is set; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayfold-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
@@ -61,15 +63,17 @@ def discard(df: DataFrame) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Rows in a batch between Spark and Python at most: texts may be long.
-BATCH_ROWS = 1000
+#: Rows and bytes in a batch between Spark and Python at most: texts may be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's rows in an Arrow batch to BATCH_ROWS where they are more; all operators want the same."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
+    """Lowers the session's limits of an Arrow batch to these where they are more; all operators want the same, so none changes what another has set."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        held = str(spark.conf.get(key)).lower().rstrip("b")
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(key, str(most))
 
 
 def bounded(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
@@ -84,3 +88,21 @@ def bounded(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Itera
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+
+
+#: A name for a column of texts beside those of documents.
+HIDDEN = "__hidden_text__"
+#: Names of the columns by which rows that stay are told; two parts keep them apart from any column of documents.
+STAY = ("__stay_id__", "__stay_sha__")
+
+
+def survivors(docs: DataFrame, stay: DataFrame, id_col: str, sha: Column) -> DataFrame:
+    """Rows of docs of which stay has the id and the digest of the text (unhexed sha), one for each; rows without an id stay all.
+
+    Repeated rows are one where they are read, so a third of all rows may be the same.
+    """
+    marks = [f"{name}own" for name in STAY]
+    marked = docs.where(F.col(id_col).isNotNull()).withColumns({marks[0]: F.col(id_col), marks[1]: F.unhex(sha)})
+    once = marked.dropDuplicates(marks)
+    kept = once.join(stay, (F.col(marks[0]) == F.col(STAY[0])) & (F.col(marks[1]) == F.col(STAY[1])), "left_semi").drop(*marks)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -1,10 +1,11 @@
 """Embedding near-dedup: a join in epsilon grid order.
 
 Unit vectors whose cosine is at least the threshold are at most epsilon apart, and so are
-their coordinates on any axis. Vectors are sorted by their grid cells of that width on the
-leading principal axes; blocks of the sorted sequence are compared only where their boxes are
-within epsilon, and inside a pair of blocks the halves are, again and again, down to pieces
-that are multiplied out.
+their images on any axes. Vectors are sorted by their grid cells of that width on the leading
+principal axes. Intervals of the sorted sequence are joined from the whole down: a pair whose
+boxes are more than epsilon apart is skipped with all that it holds, any other one is split, on
+the machines down to blocks and inside a pair of blocks down to pieces. Of a pair of pieces the
+images on a few more axes are compared first, and what they leave in full.
 """
 
 from __future__ import annotations
@@ -18,15 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored
+from .common import small_batches, stored
 from .components import components, forest
 
 THRESHOLD = 0.95
-#: Principal axes that make the grid, vectors in a block, blocks in a part of the sequence, and vectors in a piece that is multiplied out.
-AXES = 4
+#: Principal axes that make the grid, and that are compared before all; vectors in a block, blocks in a part of the sequence, vectors in a piece that is multiplied out.
+AXES, TRIAL_AXES = 4, 16
 BLOCK = 2048
 PART_BLOCKS = 4
 PIECE = 256
+#: Intervals that one of the next level holds, and blocks that one is sent to another's task for at once.
+FAN = 16
 
 
 def epsilon(threshold: float) -> float:
@@ -41,16 +44,22 @@ def valid(column: str) -> Column:
     return F.coalesce(x.isNotNull() & (F.size(x) > 0) & fine & F.exists(x, lambda v: v != 0), F.lit(False))
 
 
+def _unit(out: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision."""
+    out = out.astype(np.float64)
+    if len(out):
+        out /= np.abs(out).max(axis=1, keepdims=True)
+        out /= np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out
+
+
 def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision, shorter ones filled with zeros, and how long each was."""
+    """Vectors as they are, shorter ones filled with zeros, and how long each was."""
     sizes = np.diff(column.offsets.to_numpy())
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    out = np.zeros((len(column), width))
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(column), width), np.float32 if flat.dtype == np.float32 else np.float64)
     row = np.repeat(np.arange(len(sizes)), sizes)
     out[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
-    if len(out):
-        out /= np.abs(out).max(axis=1, keepdims=True)
-        out /= np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out, sizes
 
 
@@ -60,7 +69,7 @@ def principal_axes(classes: DataFrame, width: int, axes: int = AXES) -> np.ndarr
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width + 1, width + 1))
         for batch in batches:
-            unit, _ = _matrix(batch.column(0), width)
+            unit = _unit(_matrix(batch.column(0), width)[0])
             one = np.concatenate([unit, np.ones((len(unit), 1))], axis=1)
             total += one.T @ one
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["k", "v"])
@@ -77,19 +86,16 @@ def principal_axes(classes: DataFrame, width: int, axes: int = AXES) -> np.ndarr
 
 
 def blocks(classes: DataFrame, width: int, axes: np.ndarray, eps: float) -> DataFrame:
-    """Blocks of the sequence in grid order: block, low and high (its box on the axes), and its vectors with their ids, sizes of class and lengths."""
+    """Blocks of the sequence in grid order: block (its number), low and high (its box on the axes), and its vectors, as they are, with their ids, sizes of class and lengths."""
     n_axes = axes.shape[1]
+    kind = classes.schema["x"].dataType.simpleString()
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit, sizes = _matrix(batch.column(2), width)
-            at = unit @ axes
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), pa.array(list(unit), pa.list_(pa.float64())), pa.array(list(np.floor(at / eps).astype(np.int32)), pa.list_(pa.int32())), pa.array(list(at), pa.list_(pa.float64()))],
-                ["id", "n", "size", "unit", "cell", "at"],
-            )
+            at = _unit(_matrix(batch.column(2), width)[0]) @ axes
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(np.floor(at / eps).astype(np.int32)), pa.list_(pa.int32())), pa.array(list(at), pa.list_(pa.float64()))], ["id", "n", "x", "cell", "at"])
 
-    placed = classes.select("id", "n", "x").mapInArrow(cells, "id long, n long, size int, unit array<double>, cell array<int>, at array<double>")
+    placed = classes.select("id", "n", "x").mapInArrow(cells, f"id long, n long, x {kind}, cell array<int>, at array<double>")
     parts = max(1, math.ceil(classes.count() / (PART_BLOCKS * BLOCK)))
     ordered = placed.repartitionByRange(parts, "cell", "at").sortWithinPartitions("cell", "at", "id").coalesce(parts)  # neighbouring ranges stay together: blocks are full however many ranges there are
 
@@ -98,11 +104,11 @@ def blocks(classes: DataFrame, width: int, axes: np.ndarray, eps: float) -> Data
 
         def emit(rows: pa.Table) -> pa.RecordBatch:
             at = np.array(rows.column("at").combine_chunks().flatten()).reshape(-1, n_axes)
-            unit = np.array(rows.column("unit").combine_chunks().flatten())
-            column = lambda name, kind: pa.array([rows.column(name).to_numpy().astype(kind).tobytes()], pa.binary())
+            raw, sizes = _matrix(rows.column("x").combine_chunks(), width)
+            column = lambda name: pa.array([rows.column(name).to_numpy().astype(np.int64).tobytes()], pa.binary())
             return pa.RecordBatch.from_arrays(
-                [pa.array([at.min(0)], pa.list_(pa.float64())), pa.array([at.max(0)], pa.list_(pa.float64())), column("id", np.int64), column("n", np.int64), column("size", np.int32), pa.array([unit.tobytes()], pa.binary()), pa.array([at.tobytes()], pa.binary())],
-                ["low", "high", "ids", "ns", "sizes", "units", "ats"],
+                [pa.array([at.min(0)], pa.list_(pa.float64())), pa.array([at.max(0)], pa.list_(pa.float64())), column("id"), column("n"), pa.array([sizes.astype(np.int32).tobytes()], pa.binary()), pa.array([raw.tobytes()], pa.binary())],
+                ["low", "high", "ids", "ns", "sizes", "vectors"],
             )
 
         for batch in batches:
@@ -114,62 +120,97 @@ def blocks(classes: DataFrame, width: int, axes: np.ndarray, eps: float) -> Data
         if sum(b.num_rows for b in held):
             yield emit(pa.Table.from_batches(held))
 
-    schema = "low array<double>, high array<double>, ids binary, ns binary, sizes binary, units binary, ats binary"
-    return ordered.mapInArrow(cut, schema).withColumn("block", F.monotonically_increasing_id())
+    schema = "low array<double>, high array<double>, ids binary, ns binary, sizes binary, vectors binary"
+    made = stored(ordered.mapInArrow(cut, schema).withColumn("_id", F.monotonically_increasing_id()), "blocks")
+    counts = sorted(map(tuple, made.groupBy(F.shiftright("_id", 33).alias("part")).agg(F.count(F.lit(1))).collect()))  # a row for each part of the sequence
+    before = [(part, sum(n for _, n in counts[:i])) for i, (part, _) in enumerate(counts)]
+    offsets = F.broadcast(made.sparkSession.createDataFrame(before, "_part long, _before long"))
+    return made.join(offsets, F.shiftright("_id", 33) == F.col("_part")).withColumn("block", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_part", "_before")
 
 
 def near_pairs(made: DataFrame, eps: float) -> DataFrame:
-    """a, b: pairs of blocks, a <= b, whose boxes are within eps on every axis.
+    """a, b: pairs of blocks, a <= b, whose boxes are within eps.
 
-    Blocks meet by the cells of the first axis that they cover, a cell further to either side for one of them.
+    Levels of intervals are made from the blocks up, each interval with the box of FAN of the
+    level below, until FAN or fewer are left. Pairs come from there down: those whose boxes are
+    near are split into pairs of what they hold, by joins with the level below.
     """
-    box = made.select("block", "low", "high")
-    low, high = F.floor(F.col("low")[0] / eps), F.floor(F.col("high")[0] / eps)
-    left = box.select(F.col("block").alias("a"), F.col("low").alias("la"), F.col("high").alias("ha"), F.explode(F.sequence(low - 1, high + 1)).alias("cell"))
-    right = box.select(F.col("block").alias("b"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.explode(F.sequence(low, high)).alias("cell"))
-    apart = F.exists(F.arrays_zip("la", "ha", "lb", "hb"), lambda x: (x["lb"] - x["ha"] > eps) | (x["la"] - x["hb"] > eps))
-    return left.join(right, "cell").where((F.col("a") <= F.col("b")) & ~apart).select("a", "b").distinct()
+    box = stored(made.select("block", "low", "high"), "boxes")
+    n_axes = len(box.select("low").first()[0]) if not box.isEmpty() else 1
+    levels = [box]
+    while levels[-1].count() > FAN:
+        ends = [F.array(*[f(F.col(c)[k]) for k in range(n_axes)]).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))]
+        levels.append(stored(levels[-1].groupBy(F.floor(F.col("block") / FAN).alias("block")).agg(*ends), "boxes"))
+    gap = lambda x: F.greatest(x["lb"] - x["ha"], x["la"] - x["hb"], F.lit(0.0))
+    apart = F.aggregate(F.arrays_zip("la", "ha", "lb", "hb"), F.lit(0.0), lambda acc, x: acc + gap(x) * gap(x))
+    side = lambda level, of: level.select(F.col("block").alias(of), F.col("low").alias(f"l{of}"), F.col("high").alias(f"h{of}"), F.floor(F.col("block") / FAN).alias(f"_{of}"))
+    pairs = box.sparkSession.createDataFrame([(0, 0)], "a long, b long")  # the whole with itself
+    for level in reversed(levels):
+        wider = pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        near = wider.join(side(level, "a"), "_a").join(side(level, "b"), "_b").where((F.col("a") <= F.col("b")) & (apart <= eps * eps))
+        pairs = stored(near.select("a", "b"), "pairs")
+    return pairs
 
 
 class _Side:
-    def __init__(self, width: int, n_axes: int, ids: bytes, ns: bytes, sizes: bytes, units: bytes, ats: bytes):
+    """A block's vectors, of length one, and their images on the axes."""
+
+    def __init__(self, axes: np.ndarray, n_axes: int, kind: type, ids: bytes, ns: bytes, sizes: bytes, vectors: bytes):
         self.ids, self.ns, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(ns, np.int64), np.frombuffer(sizes, np.int32)
-        self.units, self.ats = np.frombuffer(units).reshape(-1, width), np.frombuffer(ats).reshape(-1, n_axes)
+        self.units = _unit(np.frombuffer(vectors, kind).reshape(-1, len(axes)))
+        image = self.units @ axes
+        self.ats, self.trial = image[:, :n_axes], image.astype(np.float32)
+        self.squares = (self.trial * self.trial).sum(axis=1)
 
 
 def join_intervals(a: _Side, b: _Side, same: bool, threshold: float, eps: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions of linked vectors in a and b. If both are one block, each pair comes once."""
     stack = [(0, len(a.ids), 0, len(b.ids))]
+    most = np.float32(eps * eps + 1e-4)  # room for the rounding of single precision
     while stack:
         i, j, k, l = stack.pop()
         if i >= j or k >= l or (same and i >= l):
             continue
         x, y = a.ats[i:j], b.ats[k:l]
-        if (y.min(0) - x.max(0) > eps).any() or (x.min(0) - y.max(0) > eps).any():
+        apart = np.maximum(np.maximum(y.min(0) - x.max(0), x.min(0) - y.max(0)), 0)
+        if (apart * apart).sum() > eps * eps:
             continue
         if max(j - i, l - k) > PIECE:
             p, q = (i + j) // 2, (k + l) // 2
             stack += [(i, p, k, q), (i, p, q, l), (p, j, k, q), (p, j, q, l)]
             continue
-        u, v = np.nonzero((a.units[i:j] @ b.units[k:l].T >= threshold) & (a.sizes[i:j, None] == b.sizes[None, k:l]))
+        u, v = np.nonzero(a.squares[i:j, None] + b.squares[None, k:l] - 2 * (a.trial[i:j] @ b.trial[k:l].T) <= most)
         u, v = u + i, v + k
+        keep = a.sizes[u] == b.sizes[v]
         if same:
-            once = u < v
-            u, v = u[once], v[once]
-        if len(u):
-            yield u, v
+            keep &= u < v
+        u, v = u[keep], v[keep]
+        close = np.concatenate([np.einsum("ij,ij->i", a.units[u[s : s + 4096]], b.units[v[s : s + 4096]]) for s in range(0, len(u), 4096)] or [np.zeros(0)]) >= threshold
+        if close.any():
+            yield u[close], v[close]
+
 
+def linked(made: DataFrame, axes: np.ndarray, n_axes: int, kind: type, threshold: float, eps: float) -> DataFrame:
+    """u, v, n: for each pair of blocks, (u, null, n) with how many vectors of the other class sizes u links with, and a spanning forest of the links (u, v, null).
 
-def linked(made: DataFrame, width: int, n_axes: int, threshold: float, eps: float) -> DataFrame:
-    """u, v, n: for each pair of blocks, (u, null, n) with how many vectors of the other class sizes u links with, and a spanning forest of the links (u, v, null)."""
+    A block goes once to each task that compares it with up to FAN others of the sequence.
+    """
+    made = stored(made, "numbered")
     pairs = near_pairs(made, eps)
-    parts = ("ids", "ns", "sizes", "units", "ats")
-    rows = pairs.join(made.select(F.col("block").alias("a"), *[F.col(p).alias(f"a_{p}") for p in parts]), "a").join(made.select(F.col("block").alias("b"), *[F.col(p).alias(f"b_{p}") for p in parts]), "b")
+    parts = ["ids", "ns", "sizes", "vectors"]
+    group = F.floor(F.col("b") / FAN).alias("g")
+    own = pairs.select("a", group).distinct().join(made.select(F.col("block").alias("a"), *parts), "a").select("a", "g", F.lit(None).cast("long").alias("b"), *parts)
+    others = pairs.select("a", "b", group).join(made.select(F.col("block").alias("b"), *parts), "b").select("a", "g", "b", *parts)
+    rows = own.unionByName(others).repartition("a", "g").sortWithinPartitions("a", "g", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = None
         for batch in batches:
-            for one, other, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                a, b = _Side(width, n_axes, *data[:5]), _Side(width, n_axes, *data[5:])
+            for one, _, other, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                b = _Side(axes, n_axes, kind, *data)
+                if other is None:
+                    a = b
+                    continue
                 of_a, of_b = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
                 tree_u, tree_v = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 for u, v in join_intervals(a, b, one == other, threshold, eps):
@@ -184,7 +225,7 @@ def linked(made: DataFrame, width: int, n_axes: int, threshold: float, eps: floa
                 ns = np.concatenate([of_a[found_a], of_b[found_b]])
                 yield pa.RecordBatch.from_arrays([pa.array(us), pa.array([None] * len(ns) + tree_v.tolist(), pa.int64()), pa.array(ns.tolist() + [None] * len(tree_v), pa.int64())], ["u", "v", "n"])
 
-    return rows.select("a", "b", *[f"a_{p}" for p in parts], *[f"b_{p}" for p in parts]).mapInArrow(run, "u long, v long, n long")
+    return rows.mapInArrow(run, "u long, v long, n long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -195,27 +236,26 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links with another does so for all its rows, so copies are never expanded into pairs.
     Vectors that are null or empty, have only zeros, or hold null or non-finite components
     link with nothing; vectors of different lengths don't link. Rows with a null id count as
-    links of others and have the component of their class. Empty tables give no rows.
+    links of others and have the component of their class, null where no vector with an id can
+    be reached. Empty tables give no rows.
     """
-    spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    small_batches(vectors.sparkSession)
     eps = epsilon(threshold)
     rows = vectors.select(F.col(id_col), F.col(vector_col).alias("x"))
-    classes = stored(rows.where(valid("x")).groupBy("x").agg(F.min(id_col).alias("id"), F.count(F.lit(1)).alias("n")).where("id is not null").select(F.col("id").cast("long").alias("id"), "n", "x"), "classes")
+    grouped = rows.where(valid("x")).groupBy("x").agg(F.min(id_col).cast("long").alias("id"), F.count(F.lit(1)).alias("n"))
+    classes = stored(grouped.select(F.coalesce("id", F.xxhash64("x")).alias("id"), F.col("id").isNull().alias("nameless"), "n", "x"), "classes")  # a class without any id is named by its vector
     width = classes.agg(F.max(F.size("x"))).first()[0] or 1
-    axes = principal_axes(classes, width, min(AXES, width))
-    made = stored(blocks(classes, width, axes, eps), "blocks")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # a row is a pair of blocks
-    found = stored(linked(made, width, axes.shape[1], threshold, eps), "linked")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    axes = principal_axes(classes, width, min(TRIAL_AXES, width))
+    n_axes = min(AXES, width)
+    kind = np.float32 if isinstance(classes.schema["x"].dataType.elementType, T.FloatType) else np.float64
+    made = blocks(classes, width, axes[:, :n_axes], eps)
+    found = stored(linked(made, axes, n_axes, kind, threshold, eps), "linked")
     counts = found.where("n is not null").groupBy("u").agg(F.sum("n").alias("others"))
     roots = components(found.where("v is not null").select("u", "v"))
-    known = (
-        classes.join(counts, F.col("id") == F.col("u"), "left")
-        .join(roots, F.col("id") == F.col("node"), "left")
-        .select("x", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    )
+    rooted = classes.join(counts, F.col("id") == F.col("u"), "left").join(roots, F.col("id") == F.col("node"), "left").select("x", "id", "nameless", F.coalesce("root", "id").alias("root"), (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    smallest = rooted.where("not nameless").groupBy("root").agg(F.min("id").alias("component_id"))
+    known = rooted.join(smallest, "root", "left").select("x", "n_links", "component_id")
     good = rows.where(valid("x")).join(known, "x", "left")
     alone = rows.where(~valid("x")).select("x", id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
-    both = good.select("x", id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", F.col(id_col).cast("long")).alias("component_id")).unionByName(alone)
+    both = good.select("x", id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id").unionByName(alone)
     return both.select(id_col, "n_links", "component_id", F.col(id_col).cast("long").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, text_of
+from .common import SPACE, STAY, survivors, text_of
 
 
 def normalised(text: Column) -> Column:
@@ -54,7 +54,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; see exact_duplicates. Rows without an id stay."""
-    gone = exact_duplicates(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct()
-    same = (docs[id_col] == gone["_gone"]) & (F.sha2(normalised(F.coalesce(docs[text_col], F.lit(""))), 256) == gone["_sha"])
-    return docs.join(gone, same, "left_anti")
+    """One row of docs for each group of equal texts, with all its columns: the one of smallest id; see exact_duplicates.
+
+    Of rows that repeat both that id and the text one stays. Rows without an id stay all. Null
+    texts count as empty; columns pass unchanged, whatever they are called. An empty table gives
+    no rows.
+    """
+    norm = normalised(text_of(text_col))
+    known = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), norm.alias("_norm"))
+    groups = known.groupBy(content_hash(F.col("_norm")).alias("_hash"), "_norm").agg(F.min("_id").alias("_keep"))
+    stay = groups.select(F.col("_keep").alias(STAY[0]), F.unhex(F.sha2("_norm", 256)).alias(STAY[1]))
+    return survivors(docs, stay, id_col, F.sha2(norm, 256))

@@ -8,11 +8,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_of
+from .common import HIDDEN, STAY, small_batches, stored, survivors, text_of
 from .components import components
 
 SHINGLE_WORDS = 3
@@ -76,17 +76,17 @@ def fingerprint(text: str) -> int:
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fingerprint (the 64 bits as a signed long) per row. Null texts count as empty."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+def fingerprints(docs: DataFrame, names: list[str], text: Column) -> DataFrame:
+    """The columns named and fingerprint (the 64 bits as a signed long) per row of docs."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], [id_col, "fingerprint"])
+            found = np.array([fingerprint(t) for t in batch.column(len(names)).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found)], [*names, "fingerprint"])
 
-    schema = T.StructType([docs.schema[id_col], T.StructField("fingerprint", T.LongType())])
-    return docs.select(F.col(id_col), text_of(text_col).alias("_text")).mapInArrow(run, schema)
+    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField("fingerprint", T.LongType())])
+    return docs.select(*names, text.alias(HIDDEN)).mapInArrow(run, schema)
 
 
 def keys(found: np.ndarray, code: Golay) -> tuple[list, list]:
@@ -146,6 +146,12 @@ def links(distinct: DataFrame) -> DataFrame:
     return left.join(right, "key").where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST_BITS)).select("u", "v")
 
 
+def rooted(rows: DataFrame) -> DataFrame:
+    """fp, root: each fingerprint of rows and the smallest one that links lead to; equal fingerprints are one class before any comparison."""
+    classes = stored(rows.select(F.col("fingerprint").alias("fp")).distinct(), "classes")
+    return classes.join(components(links(classes)), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable by links, itself included).
 
@@ -153,16 +159,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs. Null and empty texts have the fingerprint zero, which is linked like any other. A
     row with a null id takes part and has a component all the same. Empty tables give no rows.
     """
-    rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = stored(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(id_col).alias("least")), "classes")
-    found = components(links(classes))
-    rooted = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(smallest, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return rows.join(named, "fingerprint").select(id_col, F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = stored(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id"], text_of("_text")), "fingerprints")
+    roots = stored(rooted(rows), "roots")
+    least = rows.groupBy("fingerprint").agg(F.min("_id").alias("least")).join(roots, F.col("fingerprint") == F.col("fp"))
+    smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = roots.join(smallest, "root").select(F.col("fp").alias("fingerprint"), "component_id")
+    return rows.join(named, "fingerprint").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their group, with all their columns. Rows without an id stay."""
-    drop = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
-    return docs.join(drop, docs[id_col] == drop["_gone"], "left_anti")
+    """One row of docs for each group of linked documents, with all its columns: the one of smallest id.
+
+    Of rows that share that id the one whose text has the smallest SHA-256 stays, and of rows
+    that share both any one. Null and empty texts are alike, so one of them stays. Rows without
+    an id stay all. Columns pass unchanged, whatever they are called. An empty table gives no rows.
+    """
+    sha = F.sha2(text_of(text_col), 256)
+    known = docs.where(F.col(id_col).isNotNull())
+    rows = stored(fingerprints(known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_sha", F.unhex(F.sha2(text_of("_text"), 256))), ["_id", "_sha"], text_of("_text")), "fingerprints")
+    first = rows.groupBy("fingerprint").agg(F.min(F.struct("_id", "_sha")).alias("least")).join(rooted(rows), F.col("fingerprint") == F.col("fp"))
+    stay = first.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._id").alias(STAY[0]), F.col("least._sha").alias(STAY[1]))
+    return survivors(docs, stay, id_col, sha)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .common import stored, text_of
+from .common import small_batches, stored, text_of
 
 CAPACITY = 2048
 #: The id that ends each document.
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     piece of one token.
     """
     tokenizer = tokenizer or bpe.default_tokenizer()
-    bpe.small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     end = np.array([END], "<u4").tobytes()
     names = [id_col, "piece", "start", "length", "ids_crc32", "nth"]
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .boosting import Trees, fit
-from .common import text_of
+from .common import HIDDEN, small_batches, text_of
 
 #: Labelled rows that the trees are fitted on at most: those of least hash, so that the choice doesn't depend on order.
 TRAIN_ROWS = 12_000
@@ -28,6 +28,8 @@ def _classes() -> np.ndarray:
 
 _CLASS = _classes()
 N_FEATURES = 26
+#: A name for a column that documents don't have.
+SCORE = "__quality_score__"
 
 
 def statistics(texts: list[str]) -> np.ndarray:
@@ -74,30 +76,28 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string")) % 3 == 1
 
 
-def _batches(spark) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TRAIN_ROWS) -> Trees:
     """Fit on at most `rows` labelled documents that aren't held out.
 
-    Labels that are null are passed over; a document that several rows of labels mark counts
-    once for each. Without any label the score is 0.5 everywhere.
+    Labels that are null are passed over; a document that several rows of labels mark, or that
+    is there several times, counts once for each, but all in all no more than `rows` are taken:
+    those of least hash. Null texts count as empty. Without any label, or without documents,
+    the score is 0.5 everywhere.
     """
-    _batches(docs.sparkSession)
+    small_batches(docs.sparkSession)
     chosen = (
         labels.where(~held_out(id_col) & F.col(label_col).isNotNull())
         .select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id", "_y")
         .limit(rows)
     )
-    known = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select("_text", "_y")  # `rows` bounds it
+    known = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(chosen), "_id").select(F.xxhash64("_id", "_text").alias("_h"), "_text", "_y")  # `rows` bounds it
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(list(statistics(batch.column(0).to_pylist())), pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(statistics(batch.column(1).to_pylist())), pa.list_(pa.float64())), batch.column(2)], ["h", "x", "y"])
 
-    got = known.mapInArrow(measure, "x array<double>, y int").toArrow()
+    got = known.mapInArrow(measure, "h long, x array<double>, y int").orderBy("h", "x", "y").limit(rows).toArrow()
     x = np.array(got.column("x").to_pylist(), float).reshape(-1, N_FEATURES)
     y = got.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))
@@ -105,10 +105,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, trees: Trees, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """docs with a column of the likelihood of good quality, from 0 to 1. Null texts count as empty. Other columns pass unchanged."""
-    _batches(docs.sparkSession)
+    """docs with a column of the likelihood of good quality, from 0 to 1.
+
+    Null texts count as empty, and an empty text has the score of its statistics, all zero. A
+    column that already has the name of score_col is replaced; others pass unchanged, null ids
+    too. Repeated rows get equal scores, an empty table gives no rows.
+    """
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c != score_col]
-    kept = docs.select(*names, text_of(text_col).alias("__text"))
+    kept = docs.select(*[F.col(f"`{c}`") for c in names], text_of(text_col).alias(HIDDEN))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,9 +124,19 @@ def score(docs: DataFrame, trees: Trees, text_col: str = "text", score_col: str
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, held_out, score, predicted (1 from a score of 0.5). Repeated rows get equal scores."""
+    """Per document: id, held_out, score, predicted (1 from a score of 0.5).
+
+    Null and empty texts have a score too. Repeated rows get equal scores; a row with a null id
+    has held_out null, as no remainder is known. An empty table of documents gives no rows, an
+    empty one of labels the score 0.5 for all.
+    """
     trees = train(docs, labels, id_col, text_col)
     bare = docs.select(id_col, text_col)
     return score(bare, trees, text_col).select(
         id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def accepted(docs: DataFrame, trees: Trees, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs with a score of at least `least`, with all their columns, whatever they are called."""
+    return score(docs, trees, text_col, SCORE).where(F.col(SCORE) >= least).drop(SCORE)

@@ -69,13 +69,18 @@ def secret_scan(versions: DataFrame, ledger: DataFrame | None = None, rule_versi
     empty table gives no rows.
     """
     ledger = update_ledger(versions, ledger, rule_version, text_col)
-    found = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
-    rows = versions.drop("spans").withColumn("_blob", blob_id(text_of(text_col)))
-    return rows.join(found, "_blob", "left").withColumn("spans", F.coalesce("_spans", F.expr(f"cast(array() as array<{SPAN}>)"))).drop("_blob", "_spans")
+    blob, found = "__blob_of_the_row__", "__spans_of_the_blob__"
+    known = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias(found + "id"), F.col("spans").alias(found))
+    rows = versions.drop("spans").withColumn(blob, blob_id(text_of(text_col)))
+    return rows.join(known, F.col(blob) == F.col(found + "id"), "left").withColumn("spans", F.coalesce(found, F.expr(f"cast(array() as array<{SPAN}>)"))).drop(blob, found, found + "id")
 
 
 def findings(versions: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, counts of the base kinds, the digest of the base spans, and all spans as text."""
+    """Per row: id, counts of the base kinds, the digest of the base spans, and all spans as text.
+
+    Null texts count as empty: no spans, and the digest of no text. Rows that repeat get a row
+    each, null ids stay, and an empty table gives no rows.
+    """
     scanned = secret_scan(versions.select(id_col, text_col), text_col=text_col)
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_KINDS))
     return scanned.select(
