@@ -154,20 +154,6 @@ def test_suffix_array():
         assert suffixes.suffix_array(s).tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
 
 
-def test_ranks_over_machines(spark):
-    from wayfold.llm import cover
-
-    rng = np.random.default_rng(2)
-    words = [rng.integers(1, 4, rng.integers(0, 13)).tolist() for _ in range(30)]
-    df = spark.createDataFrame([(i, w + [0] * (12 - len(w))) for i, w in enumerate(words)], "id long, c array<long>")
-    got = {r.id: r.r for r in cover.suffix_ranks(df, ["id"], 12, 13).collect()}
-    places = [(tuple(w[p:]), i, p) for i, w in enumerate(words) for p in range(len(w))]
-    by_rank = sorted((got[i][p], suffix) for suffix, i, p in places)
-    assert [s for _, s in by_rank] == sorted(s for s, _, _ in places)
-    rows = spark.createDataFrame([(k, k // 3, 0) for k in range(20)] + [(99, 50, 0)], "id long, d long, e long").repartition(5)
-    assert sorted(r.id for r in cover.equal_neighbours(rows, ["d"], ["d", "e"], ["id"]).collect()) == list(range(20))
-
-
 def brute_fingerprint(t):
     words = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
     words = re.findall(rb"[^\x20\x09-\x0D]+", words.encode())
