@@ -48,6 +48,18 @@ def test_bpe_equals_the_library(docs, none, rows):
     assert Counter((r.doc_id, r.text) for r in back) == Counter((i, t or "") for i, t, *_ in rows)
 
 
+def test_units_merged_together_equal_the_library(tmp_path):
+    texts = ["a  b", " a\n b", "", "x  y ", "a\t b \t", "don't  \n\n b 's", " " * 50, "\x85 \x1c a", "été 中文 café", "<|endoftext|> a b", "A" * 5000 + " " + "b" * 3000, "1 22 333 a1 b'll"]
+    path = tmp_path / "lexicon"
+    path.write_bytes(compile_lexicon([(b" b", ids(" b"))]))
+    want = [np.array(ids(t), "<u4").tobytes() for t in texts]
+    for lexicon in (None, Lexicon(str(path))):
+        own = bpe.Coder(bpe.default_tokenizer(), lexicon)
+        assert own.encode_batch(texts) == want == list(map(own.encode, texts))
+        assert [own.decimal(x) for x in want] == [",".join(map(str, ids(t))) for t in texts]
+        assert own.encode_batch([]) == []
+
+
 def test_lexicon_is_exact_and_minimal(tmp_path):
     words = [b"tap", b"taps", b"top", b"tops", b"", b"stop", b"stops"]
     path = tmp_path / "lexicon"

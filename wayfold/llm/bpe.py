@@ -76,6 +76,7 @@ class Coder:
         self._length = np.array([len(t) for t in flat], np.int64)
         self._start = np.cumsum(self._length) - self._length
         self._bytes = np.frombuffer(b"".join(flat), np.uint8)
+        self._written = list(map(str, range(len(flat))))
         self.plain, self.spaced = _Memo(self._unit), _Memo(lambda piece: self._unit(" " + piece))
 
     def _unit(self, unit: str) -> bytes:
@@ -87,20 +88,42 @@ class Coder:
             return np.array(self._merge(unit), "<u4").tobytes()
         return np.array(self._exact.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _merged_all(self, units: list[str]) -> list[bytes]:
+        """_merged() of units that begin with a space: common ones are merged as one text, which no token crosses a unit of, and cut again where their bytes end."""
+        common = [u for u in units if u[1:2].strip() and _COMMON.fullmatch(u)]
+        ids = np.array(self._merge("".join(common)), "<u4")
+        ends, own_ends = np.cumsum([len(u.encode()) for u in common], dtype=np.int64), np.cumsum(self._length[ids])
+        cuts = np.searchsorted(own_ends, ends, "right")
+        if not np.array_equal(own_ends[cuts - 1], ends):
+            return list(map(self._merged, units))
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        done = dict(zip(common, (raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)), strict=True))
+        return [done[u] if u in done else self._merged(u) for u in units]
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """encode() of each text; the units that are new to this process are looked up together."""
-        if self._lexicon is not None:
-            new = list({piece for text in texts for piece in text.split(" ")}.difference(self.spaced))
-            units = [f" {piece}" for piece in new]
-            for piece, unit, known in zip(new, units, self._lexicon.get_many([u.encode() for u in units]), strict=True):
-                self.spaced.put(piece, self._merged(unit) if known is None else known)
-        return [self.encode(text) for text in texts]
+        """encode() of each text; the units that are new to this process are looked up and merged together."""
+        self._bound()
+        new = list({piece for text in texts for piece in text.split(" ")}.difference(self.spaced))
+        units = [f" {piece}" for piece in new]
+        known = self._lexicon.get_many([u.encode() for u in units]) if self._lexicon is not None else [None] * len(units)
+        rest = [k for k, ids in enumerate(known) if ids is None]
+        for k, ids in zip(rest, self._merged_all([units[k] for k in rest]), strict=True):
+            known[k] = ids
+        for piece, ids in zip(new, known, strict=True):
+            self.spaced.put(piece, ids)
+        return list(map(self._encoded, texts))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes."""
+        self._bound()
+        return self._encoded(text)
+
+    def _bound(self) -> None:
         if self.spaced.full() or self.plain.full():
             self.spaced.forget()
             self.plain.forget()
+
+    def _encoded(self, text: str) -> bytes:
         if self._specials is not None and self._specials.search(text):
             return b"".join(np.array([self.special[x]], "<u4").tobytes() if x in self.special else self._segment(x) for x in self._specials.split(text))
         return self._segment(text)
@@ -121,6 +144,11 @@ class Coder:
         return self._bytes[np.repeat(self._start[at] - ends + length, length) + np.arange(total)].tobytes()
 
 
+    def decimal(self, ids: bytes) -> str:
+        """The ids in decimal, joined by commas."""
+        return ",".join(map(self._written.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 class _Memo(dict):
     """What units give; their bytes are counted, as a text without spaces is one unit."""
 
@@ -231,10 +259,6 @@ def decode(encoded: DataFrame, tokenizer: str | None = None, id_col: str = "doc_
     return encoded.select(id_col, "ids").mapInArrow(run, schema)
 
 
-def _decimal(ids: bytes) -> str:
-    return ",".join(map(str, np.frombuffer(ids, "<u4").tolist()))
-
-
 def round_trip_digests(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_tokens, SHA-256 of its decimal ids, and SHA-256 of the text decoded from those ids.
 
@@ -249,7 +273,7 @@ def round_trip_digests(docs: DataFrame, tokenizer: str | None = None, id_col: st
         counts, of_ids, of_text = [], [], []
         for ids in own.encode_batch(texts):
             counts.append(len(ids) // 4)
-            of_ids.append(hashlib.sha256(_decimal(ids).encode()).hexdigest())
+            of_ids.append(hashlib.sha256(own.decimal(ids).encode()).hexdigest())
             of_text.append(hashlib.sha256(own.decode(ids).decode("utf-8", "replace").encode()).hexdigest())
         return [pa.array(counts, pa.int64()), pa.array(of_ids), pa.array(of_text)]
 
