@@ -91,6 +91,13 @@ def test_timetable_feed(spark, tmp_path):
     assert read() != before
 
 
+def test_postcodes(spark, tmp_path):
+    codes = ("<code><namespace>n</namespace><objectIdentifier>1000</objectIdentifier></code>", "<code><objectIdentifier>4000</objectIdentifier></code>", "<code><namespace>n</namespace></code>", "")
+    (tmp_path / "p.xml").write_text("<all>" + "".join(f"<postalInfo>{c}<name>x</name></postalInfo>" for c in (*codes, codes[0])) + "</all>")
+    rows = register.read(spark, str(tmp_path), "code struct<namespace:string,objectIdentifier:string>, name string", "postalInfo")
+    assert sorted(map(tuple, register.postcodes(rows).collect())) == [("", "4000"), ("n", "1000")]
+
+
 def test_register(spark, tmp_path):
     (tmp_path / "a.xml").write_text("<all>" + "".join(f"<address><street_id>{s}</street_id><town_id>t</town_id><house>1</house><pos>{p}</pos></address>" for s, p in (("s", "10 20"), ("s", "0 0"), ("s", "x"), ("z", "10 20"), ("s", "1000 20"))) + "</all>")
     rows = register.read(spark, str(tmp_path), "street_id string, town_id string, house string, pos string")

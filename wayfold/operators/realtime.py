@@ -154,3 +154,8 @@ def timeline(legs: DataFrame) -> DataFrame:
         lambda at, x: F.when(x["walk"] & at.isNotNull(), at + (x["end"] - x["start"])).otherwise(x["end"].cast("long")),
     )
     return legs.groupBy("plan").agg(F.min_by("start", "seq").cast("long").alias("start"), fold.alias("end"))
+
+
+def poll_statistics(polls: DataFrame) -> DataFrame:
+    """feed, succeeded, failed, throttled: how many polls of each feed ended in which way."""
+    return polls.groupBy("feed").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("succeeded", "failed", "throttled")])

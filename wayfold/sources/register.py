@@ -24,3 +24,9 @@ def addresses(rows: DataFrame, streets: DataFrame, towns: DataFrame, box: tuple[
     reason = F.when(F.col("street").isNull(), "no_street").when(F.col("x").isNull() | F.col("y").isNull(), "no_position").when((F.col("x") == 0) & (F.col("y") == 0), "origin").when(~(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3])), "outside")
     judged = named.withColumn("reason", reason)
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null").groupBy("reason").count()
+
+
+def postcodes(rows: DataFrame) -> DataFrame:
+    """namespace, postcode: the codes of a postal register (code: objectIdentifier, namespace), each once; records without one are left out."""
+    code = rows.select(F.coalesce("code.namespace", F.lit("")).alias("namespace"), F.col("code.objectIdentifier").alias("postcode"))
+    return code.where("postcode is not null").distinct()
