@@ -203,6 +203,15 @@ def test_golay_keys_meet_within_three_bits():
     assert all(x & y for x, y in zip(left, right, strict=True))
 
 
+def test_golay_keys_are_not_broadcast(spark, tmp_path):
+    """Few bytes of fingerprints make many keys, which must not pass through the driver."""
+    prints = np.random.default_rng(5).integers(0, 1 << 63, 200, dtype=np.int64).tolist()
+    spark.createDataFrame([(p,) for p in [*prints, prints[0] ^ 7]], "fp long").write.parquet(f"{tmp_path}/prints")
+    found = golay.links(spark.read.parquet(f"{tmp_path}/prints"))
+    assert {frozenset(r) for r in found.collect()} >= {frozenset((prints[0], prints[0] ^ 7))}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_exact(docs, none, rows):
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for _, t, *_ in rows]
     size, least = Counter(norm), {}

@@ -141,9 +141,13 @@ def _keyed(distinct: DataFrame, side: int) -> DataFrame:
 
 
 def links(distinct: DataFrame) -> DataFrame:
-    """u, v: the pairs of different fingerprints (column fp) that differ in MOST_BITS bits or fewer; a pair may come more than once."""
+    """u, v: the pairs of different fingerprints (column fp) that differ in MOST_BITS bits or fewer; a pair may come more than once.
+
+    A fingerprint makes some 70 keys, of which Spark's estimate knows nothing: without the hint it
+    broadcasts a side of millions of keys through the driver, as the fingerprints alone are few bytes.
+    """
     left, right = _keyed(distinct, 0).withColumnRenamed("fp", "u"), _keyed(distinct, 1).withColumnRenamed("fp", "v")
-    return left.join(right, "key").where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST_BITS)).select("u", "v")
+    return left.join(right.hint("merge"), "key").where((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MOST_BITS)).select("u", "v")
 
 
 def rooted(rows: DataFrame) -> DataFrame:
