@@ -6,7 +6,7 @@ import pytest
 from llm_fixtures import DOCS, components, documents
 from pyspark.sql import functions as F
 
-from wayfold.llm import eps_grid
+from wayfold.llm import eps_grid, golay
 from wayfold.llm.components import components as distributed
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
@@ -78,3 +78,19 @@ def test_pipeline(spark, tmp_path):
     whole = pipeline.run(spark, str(tmp_path))
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, whole.select(key).collect())) == sorted(map(tuple, steps.select(key).collect()))
+
+
+def test_near_copies_of_the_pipeline_send_no_keys_through_the_driver(spark, tmp_path, monkeypatch):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame(documents(3), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    plans, found = [], golay.components
+
+    def seen(links):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return found(links)
+
+    monkeypatch.setattr(golay, "components", seen)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = dict(pipeline.STAGES)["simhash_dedup"](spark, docs, str(tmp_path))
+    assert 0 < kept.count() <= docs.count()
+    assert len(plans) == 1 and "Join" in plans[0] and "Broadcast" not in plans[0]
