@@ -176,3 +176,11 @@ def test_profile_keeps_peaks(spark):
     df = spark.createDataFrame([(1, i, i * 10.0, h) for i, h in enumerate(heights)], "way long, seq int, along double, height double")
     got = [r.height for r in greedy.smooth_profile(df).orderBy("seq").collect()]
     assert got[0] == 0.0 and got[3] == 30.0 and got[5] == 0.1 and got[1] != 1.0
+
+
+def test_shares_of_paths_without_length(spark):
+    rows = [(0, 1, 10, 0), (0, 2, 10, 5), (0, 3, 10, 0), (0, 3, 11, 4), (0, 4, 12, 0), (0, 5, 12, 0), (0, 6, 13, 3), (0, 7, 13, 0), (1, 2, 10, 3), (1, 3, 10, 2)]
+    got = {(r.p, r.q): r.share for r in streets.shared_share(spark.createDataFrame(rows, "grp long, path long, edge long, metres int")).collect()}
+    nan = {k for k, v in got.items() if v != v}
+    assert nan == {(1, 2), (1, 3), (4, 5)}  # nothing of nothing
+    assert {k: v for k, v in got.items() if k not in nan} == {(2, 3): 8 / 6, (6, 7): float("inf")}

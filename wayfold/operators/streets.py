@@ -61,9 +61,15 @@ def climbs(steps: DataFrame, buffer: float) -> DataFrame:
 
 
 def shared_share(paths: DataFrame, by: str = "metres") -> DataFrame:
-    """p, q, share: for pairs of paths of one group with common edges, the common length over the shorter length."""
-    length = paths.groupBy("grp", "path").agg(F.sum(by).alias("length"))
+    """p, q, share: for pairs of paths of one group with common edges, the common length over the shorter length.
+
+    Over a shorter length of zero the share is what floating point makes of it: infinite, or not
+    a number where the common length is zero too. A path that several groups have is one path.
+    """
+    length = paths.groupBy("path").agg(F.sum(by).alias("length"))
     a = paths.select("grp", "edge", F.col("path").alias("p"), F.col(by).alias("m"))
-    both = a.join(paths.select("grp", "edge", F.col("path").alias("q")), ["grp", "edge"]).where("p < q").groupBy("grp", "p", "q").agg(F.sum("m").alias("common"))
-    named = both.join(length.select("grp", F.col("path").alias("p"), F.col("length").alias("lp")), ["grp", "p"]).join(length.select("grp", F.col("path").alias("q"), F.col("length").alias("lq")), ["grp", "q"])
-    return named.select("p", "q", (F.col("common") / F.least("lp", "lq")).alias("share"))
+    both = a.join(paths.select("grp", "edge", F.col("path").alias("q")), ["grp", "edge"]).where("p < q").groupBy("p", "q").agg(F.sum("m").alias("common"))
+    named = both.join(length.select(F.col("path").alias("p"), F.col("length").alias("lp")), "p").join(length.select(F.col("path").alias("q"), F.col("length").alias("lq")), "q")
+    common, shorter = F.col("common").cast("double"), F.least("lp", "lq").cast("double")
+    over_zero = F.when(common > 0, float("inf")).when(common < 0, float("-inf")).when(common == 0, float("nan"))
+    return named.select("p", "q", F.when(shorter == 0, over_zero).otherwise(common / shorter).alias("share"))
