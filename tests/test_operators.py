@@ -184,3 +184,46 @@ def test_shares_of_paths_without_length(spark):
     nan = {k for k, v in got.items() if v != v}
     assert nan == {(1, 2), (1, 3), (4, 5)}  # nothing of nothing
     assert {k: v for k, v in got.items() if k not in nan} == {(2, 3): 8 / 6, (6, 7): float("inf")}
+
+
+def test_alerts_of_legs_by_brute_force(spark):
+    rng = random.Random(4)
+    some = lambda n: None if rng.random() < 0.1 else rng.randrange(n)
+    legs = [(some(40), some(6), some(4), some(5), some(5), rng.choice([10, 20, None])) for _ in range(60)]
+    legs += legs[:5] + [(50 + k, 1, 2, 3, 3, 10) for k in range(5)]
+    alerts = [(some(30), rng.choice(["trip", "route", "stop"]), some(6), some(25), some(40)) for _ in range(80)]
+    alerts += alerts[:5]
+    want = {
+        (leg, alert)
+        for leg, trip, line, board, alight, now in legs
+        for alert, kind, entity, begin, end in alerts
+        if entity is not None and (kind, entity) in {("trip", trip), ("route", line), ("stop", board), ("stop", alight)}
+        and (begin is None or now is not None and begin <= now) and (end is None or now is not None and now < end)
+    }
+    found = realtime.alerts_for_legs(
+        spark.createDataFrame(alerts, "alert long, kind string, entity long, from long, to long"), spark.createDataFrame(legs, "leg long, trip long, line int, board long, alight long, now int")
+    )
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+
+
+def test_pairs_of_legs_and_alerts_are_not_shuffled(spark, tmp_path):
+    legs = spark.range(4000).select(F.col("id").alias("leg"), F.col("id").alias("trip"), (F.col("id") % 2).alias("line"), F.lit(1).alias("board"), F.lit(2).alias("alight"), F.lit(5).alias("now"))
+    alerts = spark.range(300).select(F.col("id").alias("alert"), F.lit("route").alias("kind"), (F.col("id") % 2).alias("entity"), F.lit(None).cast("long").alias("from"), F.lit(None).cast("long").alias("to"))
+    found = realtime.alerts_for_legs(alerts, legs)
+    done = found._jdf.queryExecution()
+    assert done.executedPlan().executeCollect() is not None
+
+    def written(node):
+        """Rows that each shuffle of a plan wrote."""
+        name = node.nodeName()
+        below = [node.children().apply(i) for i in range(node.children().length())]
+        if name == "AdaptiveSparkPlan":
+            below.append(node.executedPlan())
+        if name.endswith("QueryStage"):
+            below.append(node.plan())
+        own = [node.metrics().apply("shuffleRecordsWritten").value()] if name == "Exchange" else []
+        return own + [n for x in below for n in written(x)]
+
+    rows = written(done.executedPlan())
+    assert len(rows) > 2 and max(rows) < 4000 * 300 / 10

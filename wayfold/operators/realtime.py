@@ -96,15 +96,33 @@ def gate(snapshots: DataFrame, now: int, day: int, ttl: int = SNAPSHOT_TTL) -> D
     return snapshots.where((F.lit(now) - F.col("generated_at") <= ttl) & (F.floor(F.col("generated_at") / 86400) - 10957 == day))
 
 
+#: Parts that the legs of one class are dealt out to.
+LEG_PARTS = 64
+
+
 def alerts_for_legs(alerts: DataFrame, legs: DataFrame) -> DataFrame:
     """leg, alert: alerts (alert, kind, entity, from, to) that name a leg's trip, line or either stop while it runs.
 
-    A period includes its begin and not its end; a null bound is open. One equi-join by kind and entity.
+    A period includes its begin and not its end; a null bound is open. Legs of the same line and
+    stops are one class, for which alerts are found and made distinct once; their legs take them
+    by an equi-join whose rows are the answer, so pairs are never shuffled. What names a trip is
+    found by the trip and added unless the leg's class has it.
     """
-    entities = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("long").alias("entity")) for k, c in (("trip", "trip"), ("route", "line"), ("stop", "board"), ("stop", "alight"))])
-    named = legs.select("leg", "now", F.explode(entities).alias("e")).select("leg", "now", "e.kind", "e.entity")
     active = (F.col("from").isNull() | (F.col("from") <= F.col("now"))) & (F.col("to").isNull() | (F.col("now") < F.col("to")))
-    return named.join(alerts, ["kind", "entity"]).where(active).select("leg", "alert").distinct()
+    shared = F.array(*[F.struct("now", F.lit(kind == "stop").alias("stop"), F.col(c).cast("long").alias("entity")) for kind, c in (("route", "line"), ("stop", "board"), ("stop", "alight"))])
+    named = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(shared, lambda e: e["entity"].isNotNull())))))
+    legs = legs.select("leg", "trip", "line", "board", "alight", "now")
+    classes = legs.groupBy("leg").agg(named.alias("class")).withColumn("part", F.pmod(F.xxhash64("leg"), F.lit(LEG_PARTS)))
+    held = classes.groupBy("class").agg(F.collect_set("part").alias("parts"))
+    entities = held.select("class", "parts", F.explode("class").alias("e")).select("class", "parts", "e.now", F.when(F.col("e.stop"), "stop").otherwise("route").alias("kind"), "e.entity")
+    of_class = entities.join(alerts, ["kind", "entity"]).where(active).select("class", "parts", "alert").distinct()
+    by_class = classes.join(of_class.select("class", F.explode("parts").alias("part"), "alert").hint("merge"), ["class", "part"]).select("leg", "alert")
+
+    of_trip = alerts.where("kind = 'trip'").withColumnRenamed("entity", "trip")
+    pairs = legs.join(of_trip, "trip").where(active).select("leg", "alert").distinct()
+    again = of_class.select(F.col("class").alias("its_class"), F.col("alert").alias("its_alert"))
+    by_trip = pairs.join(classes.select(F.col("leg").alias("its_leg"), "class"), F.col("leg").eqNullSafe(F.col("its_leg"))).join(again, (F.col("class") == F.col("its_class")) & F.col("alert").eqNullSafe(F.col("its_alert")), "left_anti")
+    return by_class.unionByName(by_trip.select("leg", "alert"))
 
 
 def live_refresh(legs: DataFrame, stop_times: DataFrame, live: DataFrame, last_seen: DataFrame) -> DataFrame:
