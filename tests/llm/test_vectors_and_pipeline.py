@@ -6,6 +6,7 @@ import pytest
 from llm_fixtures import DOCS, components, documents
 from pyspark.sql import functions as F
 
+from wayfold.llm import components as component_search
 from wayfold.llm import eps_grid, golay
 from wayfold.llm.components import components as distributed
 
@@ -94,3 +95,25 @@ def test_near_copies_of_the_pipeline_send_no_keys_through_the_driver(spark, tmp_
     kept = dict(pipeline.STAGES)["simhash_dedup"](spark, docs, str(tmp_path))
     assert 0 < kept.count() <= docs.count()
     assert len(plans) == 1 and "Join" in plans[0] and "Broadcast" not in plans[0]
+
+
+def test_near_dedup_broadcasts_nothing_that_grows_with_the_documents(spark, tmp_path, monkeypatch):
+    """Every job of the pipeline's third stage, the rounds of the search for components included, whatever Spark takes for small."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame(documents(3), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    plans, store = [], golay.stored
+
+    def seen(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, label)
+
+    monkeypatch.setattr(golay, "stored", seen)
+    monkeypatch.setattr(component_search, "stored", seen)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = dict(pipeline.STAGES)["simhash_dedup"](spark, docs, str(tmp_path))
+    plans.append(kept._jdf.queryExecution().executedPlan().toString())
+    assert not [p for p in plans if "Broadcast" in p]
+    assert len([p for p in plans if "Union" in p and "SortMergeJoin" in p]) >= 2  # rounds were seen
+    assert 0 < kept.count() <= docs.count()
+    named = golay.near_duplicates(docs)
+    assert "Broadcast" not in named._jdf.queryExecution().executedPlan().toString()

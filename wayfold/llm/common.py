@@ -99,10 +99,11 @@ STAY = ("__stay_id__", "__stay_sha__")
 def survivors(docs: DataFrame, stay: DataFrame, id_col: str, sha: Column) -> DataFrame:
     """Rows of docs of which stay has the id and the digest of the text (unhexed sha), one for each; rows without an id stay all.
 
-    Repeated rows are one where they are read, so a third of all rows may be the same.
+    Repeated rows are one where they are read, so a third of all rows may be the same. What stays
+    grows with docs, so it is never broadcast.
     """
     marks = [f"{name}own" for name in STAY]
     marked = docs.where(F.col(id_col).isNotNull()).withColumns({marks[0]: F.col(id_col), marks[1]: F.unhex(sha)})
     once = marked.dropDuplicates(marks)
-    kept = once.join(stay, (F.col(marks[0]) == F.col(STAY[0])) & (F.col(marks[1]) == F.col(STAY[1])), "left_semi").drop(*marks)
+    kept = once.join(stay.hint("merge"), (F.col(marks[0]) == F.col(STAY[0])) & (F.col(marks[1]) == F.col(STAY[1])), "left_semi").drop(*marks)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -42,7 +42,8 @@ def components(links: DataFrame) -> DataFrame:
 
     A round joins each node's larger neighbours to its least one, then its smaller ones, until
     nothing changes; the number of rounds grows with the logarithm of the number of nodes. What
-    a node's neighbours have in common is pre-aggregated, and the joins back may be split.
+    a node's neighbours have in common is pre-aggregated. The joins back sort both sides, as there
+    may be as many least neighbours as nodes, too many for the driver to broadcast.
     Links from a node to itself and repeated links change nothing.
     """
     edges = links.where("u != v").select("u", "v").mapInArrow(_local, "u long, v long").distinct()
@@ -53,9 +54,9 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, edges = edges, stored(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         discard(old)
         before = tuple(state)

@@ -151,9 +151,13 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def rooted(rows: DataFrame) -> DataFrame:
-    """fp, root: each fingerprint of rows and the smallest one that links lead to; equal fingerprints are one class before any comparison."""
+    """fp, root: each fingerprint of rows and the smallest one that links lead to; equal fingerprints are one class before any comparison.
+
+    There are as many as fingerprints, so here and where they are joined to rows, sides are sorted:
+    a table of them that counts as small by its bytes has several times those in the driver.
+    """
     classes = stored(rows.select(F.col("fingerprint").alias("fp")).distinct(), "classes")
-    return classes.join(components(links(classes)), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    return classes.join(components(links(classes)).hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -165,10 +169,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = stored(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), ["_id"], text_of("_text")), "fingerprints")
     roots = stored(rooted(rows), "roots")
-    least = rows.groupBy("fingerprint").agg(F.min("_id").alias("least")).join(roots, F.col("fingerprint") == F.col("fp"))
+    least = rows.groupBy("fingerprint").agg(F.min("_id").alias("least")).join(roots.hint("merge"), F.col("fingerprint") == F.col("fp"))
     smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = roots.join(smallest, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return rows.join(named, "fingerprint").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    named = roots.join(smallest.hint("merge"), "root").select(F.col("fp").alias("fingerprint"), "component_id")
+    return rows.join(named.hint("merge"), "fingerprint").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,6 +185,6 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sha = F.sha2(text_of(text_col), 256)
     known = docs.where(F.col(id_col).isNotNull())
     rows = stored(fingerprints(known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_sha", F.unhex(F.sha2(text_of("_text"), 256))), ["_id", "_sha"], text_of("_text")), "fingerprints")
-    first = rows.groupBy("fingerprint").agg(F.min(F.struct("_id", "_sha")).alias("least")).join(rooted(rows), F.col("fingerprint") == F.col("fp"))
+    first = rows.groupBy("fingerprint").agg(F.min(F.struct("_id", "_sha")).alias("least")).join(rooted(rows).hint("merge"), F.col("fingerprint") == F.col("fp"))
     stay = first.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._id").alias(STAY[0]), F.col("least._sha").alias(STAY[1]))
     return survivors(docs, stay, id_col, sha)
