@@ -6,8 +6,8 @@ import pytest
 from llm_fixtures import DOCS, components, documents
 from pyspark.sql import functions as F
 
+from wayfold.llm import common, eps_grid, golay
 from wayfold.llm import components as component_search
-from wayfold.llm import eps_grid, golay
 from wayfold.llm.components import components as distributed
 
 sys.path.insert(0, str(Path(__file__).parents[2]))
@@ -117,3 +117,37 @@ def test_near_dedup_broadcasts_nothing_that_grows_with_the_documents(spark, tmp_
     assert 0 < kept.count() <= docs.count()
     named = golay.near_duplicates(docs)
     assert "Broadcast" not in named._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_near_dedup_sorts_texts_only_where_rows_are_repeated(spark, monkeypatch, most):
+    """A sort holds texts in a task's memory. Rows that stay are hashed if a task gets few of them; either way the rows are the same."""
+    monkeypatch.setattr(common, "HASHED_ROWS", most)
+    once = list({(r[0], r[1]): r for r in documents(3)}.values())
+    known = [r for r in once if r[0] is not None]
+    for rows, repeated in ((once, False), (once + known[:1] * 20, True)):
+        kept = golay.near_dedup(spark.createDataFrame(rows, DOCS).repartition(3))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        texts = [line for line in plan.splitlines() if "SortAggregate" in line and "text#" in line]
+        assert bool(texts) == repeated
+        assert ("ShuffledHashJoin" in plan) == (not repeated and most > 0)
+        got = sorted(map(repr, kept.collect()))
+        if repeated:
+            assert got == before and len(got) < len(once)
+        before = got
+
+
+def test_stages_read_few_texts_at_once(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    spark.createDataFrame(documents(3), DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in pipeline.STAGES:
+        spark.conf.set(key, "4096")
+        stage(spark, docs, str(tmp_path))
+        assert int(spark.conf.get(key)) == common.READ_ROWS
+    spark.conf.set(key, "7")  # less is left as it is
+    pipeline.STAGES[1][1](spark, docs, str(tmp_path))
+    assert spark.conf.get(key) == "7"
+    spark.conf.unset(key)

@@ -76,6 +76,17 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Rows that the Parquet reader decodes at once at most. Its own 4 096 whole texts are arrays of tens of MB in each task, which fragment the heap.
+READ_ROWS = 256
+
+
+def small_reads(spark: SparkSession) -> None:
+    """Lowers the session's limit of rows that a reader of whole texts decodes at once to READ_ROWS where it is more."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key)) > READ_ROWS:
+        spark.conf.set(key, str(READ_ROWS))
+
+
 def bounded(batches: Iterable[pa.RecordBatch], column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose texts have at most `limit` bytes in all, or one row."""
     for batch in batches:
@@ -96,14 +107,26 @@ HIDDEN = "__hidden_text__"
 STAY = ("__stay_id__", "__stay_sha__")
 
 
-def survivors(docs: DataFrame, stay: DataFrame, id_col: str, sha: Column) -> DataFrame:
+#: Rows that stay, per shuffle partition, up to which a task keeps them in a hash table; that can't spill.
+HASHED_ROWS = 100_000
+
+
+def survivors(docs: DataFrame, stay: DataFrame, id_col: str, sha: Column, known: DataFrame | None = None) -> DataFrame:
     """Rows of docs of which stay has the id and the digest of the text (unhexed sha), one for each; rows without an id stay all.
 
     Repeated rows are one where they are read, so a third of all rows may be the same. What stays
     grows with docs, so it is never broadcast.
+
+    known, a stored table, has the id and digest of each row of docs with an id, named as in stay.
+    If no row is repeated there, texts are moved once and never sorted, as a sort holds texts in
+    each task's memory; rows that stay are then hashed, or sorted where a task may get too many.
     """
     marks = [f"{name}own" for name in STAY]
-    marked = docs.where(F.col(id_col).isNotNull()).withColumns({marks[0]: F.col(id_col), marks[1]: F.unhex(sha)})
-    once = marked.dropDuplicates(marks)
-    kept = once.join(stay.hint("merge"), (F.col(marks[0]) == F.col(STAY[0])) & (F.col(marks[1]) == F.col(STAY[1])), "left_semi").drop(*marks)
+    rows, how = docs.where(F.col(id_col).isNotNull()).withColumns({marks[0]: F.col(id_col), marks[1]: F.unhex(sha)}), "merge"
+    most, n = (2, 0) if known is None else known.groupBy(*STAY).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0)), F.count(F.lit(1))).first()
+    if most > 1:
+        rows = rows.dropDuplicates(marks)
+    elif n <= HASHED_ROWS * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        how = "shuffle_hash"
+    kept = rows.join(stay.hint(how), (F.col(marks[0]) == F.col(STAY[0])) & (F.col(marks[1]) == F.col(STAY[1])), "left_semi").drop(*marks)
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

@@ -187,4 +187,4 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = stored(fingerprints(known.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).withColumn("_sha", F.unhex(F.sha2(text_of("_text"), 256))), ["_id", "_sha"], text_of("_text")), "fingerprints")
     first = rows.groupBy("fingerprint").agg(F.min(F.struct("_id", "_sha")).alias("least")).join(rooted(rows).hint("merge"), F.col("fingerprint") == F.col("fp"))
     stay = first.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._id").alias(STAY[0]), F.col("least._sha").alias(STAY[1]))
-    return survivors(docs, stay, id_col, sha)
+    return survivors(docs, stay, id_col, sha, rows.select(F.col("_id").alias(STAY[0]), F.col("_sha").alias(STAY[1])))
