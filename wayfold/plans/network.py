@@ -120,7 +120,7 @@ def boardings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """user_id, seq, operator, board_stop, alight_stop, board_time, km: rides in the order of time."""
     n = n_stops(spark, sf_dir)
     ts = F.unix_timestamp(F.col("ts").cast("timestamp"))
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    order = Window.partitionBy("user_id").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))  # nulls where SQL has them
     return _table(spark, sf_dir, "events").select(
         "user_id", F.row_number().over(order).alias("seq"), F.col("event_type").alias("operator"), (F.col("event_id") % n).alias("board_stop"), ((F.col("event_id") * 3 + 1) % n).alias("alight_stop"), (ts % 86400).cast("int").alias("board_time"), F.floor("value").cast("int").alias("km")
     )

@@ -199,10 +199,10 @@ def path_climbs(spark, d):
 
 def shared_path_share(spark, d):
     once = _steps(spark, d).groupBy("grp", "path", "edge").agg(F.max("metres").alias("metres"))
-    scaled = F.col("share") * 1e6
-    whole = F.floor(scaled).cast("double")
-    rounded = (whole + F.when(scaled - whole >= 0.5, 1.0).otherwise(0.0)) / 1e6  # as SQL rounds the doubles, not their digits
-    return streets.shared_share(once).select("p", "q", F.when(F.col("share") < float("inf"), rounded).otherwise(F.col("share")).alias("share"))
+    size = F.abs("share")
+    whole = F.floor(size * 1e6).cast("double")
+    rounded = F.signum("share") * (whole + F.when(size * 1e6 - whole >= 0.5, 1.0).otherwise(0.0)) / 1e6  # as SQL rounds the doubles, not their digits, halves away from zero
+    return streets.shared_share(once).select("p", "q", F.when(size < float("inf"), rounded).otherwise(F.col("share")).alias("share"))
 
 
 def fare_tariffs(spark, d):
